@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
 from ..session import table
-from . import fusion, splitting
+from . import fusion, neardup, splitting
 
 REGISTRY = Registry()
 
 
+FACT_TEXTS = ["fact_summary", "source_quote"]
+
+
+@REGISTRY.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.found(table(spark, sf_dir, "facts"), "id", FACT_TEXTS)
+
+
+@REGISTRY.add("p2_classes")
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "facts"), "id", FACT_TEXTS)
+
+
 @REGISTRY.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.found(table(spark, sf_dir, "facts"), table(spark, sf_dir, "evidence_sources"))
