@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
 from ..session import table
-from . import fusion, neardup, splitting
+from . import fusion, neardup, packing, splitting, tokens
 
 REGISTRY = Registry()
 
@@ -44,3 +44,14 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = splitting.limits(table(spark, sf_dir, "registry"), table(spark, sf_dir, "reasoner_config"))
     texts = table(spark, sf_dir, "text_cache").join(sizes, "fingerprint")
     return splitting.split(texts, "id", "extracted_text", "max_chars", "overlap")
+
+
+@REGISTRY.add("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("p9_containers")
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = table(spark, sf_dir, "reasoner_config").filter("file_type = 'text'").select("context_size").first()
+    return packing.containers(tokens.token_counts(table(spark, sf_dir, "documents")), int(config["context_size"]))
