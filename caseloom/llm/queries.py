@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
 from ..session import table
-from . import fusion, neardup, packing, splitting, tokens
+from . import fusion, names, neardup, packing, splitting, tokens
 
 REGISTRY = Registry()
 
@@ -24,6 +24,11 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "facts"), "id", FACT_TEXTS)
 
 
+@REGISTRY.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(*(table(spark, sf_dir, t) for t in ("facts", "llm_facts", "name_roster", "nicknames")))
+
+
 @REGISTRY.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.found(table(spark, sf_dir, "facts"), table(spark, sf_dir, "evidence_sources"))
