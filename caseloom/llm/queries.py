@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
 from ..session import table
-from . import fusion, names, neardup, packing, splitting, tokens
+from . import fusion, names, neardup, packing, personal, splitting, tokens
 
 REGISTRY = Registry()
 
@@ -60,3 +60,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = table(spark, sf_dir, "reasoner_config").filter("file_type = 'text'").select("context_size").first()
     return packing.containers(tokens.token_counts(table(spark, sf_dir, "documents")), int(config["context_size"]))
+
+
+@REGISTRY.add("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(*(table(spark, sf_dir, t) for t in ("documents", "name_roster", "nicknames")))
+
+
+@REGISTRY.add("p10_redacted")
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redacted(*(table(spark, sf_dir, t) for t in ("documents", "name_roster", "nicknames")))
