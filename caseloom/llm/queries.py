@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
 from ..session import table
-from . import fusion, names, neardup, packing, personal, splitting, tokens
+from . import encodings, fusion, names, neardup, packing, personal, splitting, tokens
 
 REGISTRY = Registry()
 
@@ -24,6 +24,16 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "facts"), "id", FACT_TEXTS)
 
 
+@REGISTRY.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.found(table(spark, sf_dir, "document_extractions"))
+
+
+@REGISTRY.add("p3_restored")
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.restored(table(spark, sf_dir, "document_extractions"))
+
+
 @REGISTRY.add("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(*(table(spark, sf_dir, t) for t in ("facts", "llm_facts", "name_roster", "nicknames")))
