@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
 from ..session import table
-from . import encodings, fusion, names, neardup, packing, personal, splitting, tokens
+from . import encodings, fusion, names, neardup, packing, personal, scans, splitting, tokens
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "text_cache"))
+
+
+@REGISTRY.add("p1_repaired")
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "text_cache"))
+
+
 FACT_TEXTS = ["fact_summary", "source_quote"]
 
 
