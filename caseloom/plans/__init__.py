@@ -7,6 +7,6 @@ from .registry import Registry
 
 def registries() -> list[Registry]:
     """The registries of the core, in order."""
-    from . import dates
+    from . import core, dates
 
-    return [dates.REGISTRY]
+    return [dates.REGISTRY, core.REGISTRY]
