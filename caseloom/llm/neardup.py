@@ -213,7 +213,7 @@ def candidates(texts: DataFrame, min_words: int, largest: int, t: Fraction, cap:
     limit = ((F.shiftright(F.col("x.info"), 16) + F.shiftright(F.col("y.info"), 16)) * (t.denominator - t.numerator) / (t.denominator + t.numerator)).cast("double")
     full = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.a") < F.col("y.a")) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= limit))
     pairs = one.filter("b is not null").select("a", "b").union(two.filter("b is not null").select("a", "b")).union(full.select("x.a", "y.a"))
-    return pairs.distinct()
+    return pairs.filter("a < b").distinct()  # a repeated row isn't a pair
 
 
 def verified(pairs: DataFrame, texts: DataFrame, min_words: int, t: Fraction) -> DataFrame:
@@ -241,7 +241,7 @@ def verified(pairs: DataFrame, texts: DataFrame, min_words: int, t: Fraction) ->
                 keep.append(common * t.denominator >= (n - common) * t.numerator)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_b.mapInArrow(check, "a bigint, b bigint")
+    return with_b.mapInArrow(check, "a bigint, b bigint").distinct()
 
 
 def links(df: DataFrame, id_col: str, text_cols: list[str], t: Fraction, min_words: int) -> tuple[DataFrame, DataFrame]:
