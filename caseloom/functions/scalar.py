@@ -43,7 +43,7 @@ def folded(x: str | Column) -> Column:
 
 def tokens(x: str | Column) -> Column:
     """The words of a text, folded; null gives none."""
-    return F.filter(F.split(F.regexp_replace(folded(F.coalesce(c(x), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
+    return F.array_remove(F.split(folded(F.coalesce(c(x), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def words(x: str | Column) -> Column:

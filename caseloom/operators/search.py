@@ -105,7 +105,7 @@ def hits(leaf: Node, columns: list[str]) -> Column:
     """How often a leaf occurs in token columns; a phrase doesn't run over a column's end."""
     def one(c: str) -> Column:
         if leaf.kind == "term":
-            return F.size(F.filter(c, lambda t: t == leaf.words[0]))
+            return F.size(c) - F.size(F.array_remove(c, leaf.words[0]))
         if leaf.kind == "prefix":
             return F.size(F.filter(c, lambda t: t.startswith(leaf.words[-1])))
         k = len(leaf.words)
