@@ -17,7 +17,7 @@ def weighted(facts: DataFrame, min_weight: float = 0.0, limit: int = 1000, cap:
 def custom_weighted(facts: DataFrame, reliability: DataFrame) -> DataFrame:
     """Weights times the reliability of the source (fingerprint, reliability; 1 where none is given), with a label."""
     w = facts.filter(alive()).join(reliability, "fingerprint", "left").withColumn("w", weight(True) * F.coalesce("reliability", F.lit(1.0)))
-    return w.select("id", r6(F.col("w")).alias("weight"), F.when(F.col("w") >= 0.6, "primary").otherwise("secondary").alias("label"))
+    return w.select("id", F.round("w", 9).alias("weight"), F.when(F.col("w") >= 0.6, "primary").otherwise("secondary").alias("label"))
 
 
 def corroboration(facts: DataFrame, min_sources: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.scalar import duration_seconds, file_kind, parsed_location, r6
 from ..operators import anomaly, chains, compare, dedup, graph, inference, quality, queues, search, stats, store, timeline, weights
 from ..session import table
 from ..sinks import export
+from ..sources import files
 from ..streaming import ingest
 from .registry import Registry
 
@@ -62,7 +63,7 @@ q("q_lookup", "select id, fingerprint, path from registry where id = 7", "regist
 q("q_fingerprints", "select distinct fingerprint from registry", "registry")(lambda r: r.select("fingerprint").distinct())
 q("j1_text_with_file", "select t.id, r.path, length(t.extracted_text) n from text_cache t join registry r using (fingerprint)", "text_cache", "registry")(lambda t, r: t.select("id", "fingerprint", F.length("extracted_text").alias("n")).join(r.select("fingerprint", "path"), "fingerprint").select("id", "path", F.col("n").cast("long").alias("n")))
 q("s_file_kinds", "select path, case when e in ('pdf') then 'pdf' when e in ('jpg','jpeg','png','bmp','tiff','tif') then 'image' when e in ('mp3','wav','m4a','ogg','flac') then 'audio' when e in ('mp4','m4v') then 'video' when e in ('docx','doc') then 'docx' when e in ('txt','md','json','xml','csv','rtf') then 'text' else 'unknown' end kind from (select path, lower(regexp_extract(path, '\\.([^./]+)$', 1)) e from registry)", "registry")(lambda r: r.select("path", file_kind(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind")))
-q("s_durations", "select id, round(file_size * 8 / (case when lower(file_name) like '%.wav' then 1411 when lower(file_name) like '%.flac' then 800 else 128 end * 1000.0::double), 6) as seconds from registry where file_type = 'audio' and file_size is not null", "registry")(lambda r: r.filter("file_type = 'audio' and file_size is not null").select("id", r6(duration_seconds(F.col("file_size"), F.regexp_extract("file_name", r"\.([^./]+)$", 1))).alias("seconds")))
+q("s_durations", "select id, round(file_size * 8 / (case when lower(file_name) like '%.wav' then 1411 when lower(file_name) like '%.flac' then 800 else 128 end * 1000.0::double), 9) as seconds from registry where file_type = 'audio' and file_size is not null", "registry")(lambda r: r.filter("file_type = 'audio' and file_size is not null").select("id", F.round(duration_seconds(F.col("file_size"), F.regexp_extract("file_name", r"\.([^./]+)$", 1)), 9).alias("seconds")))
 q("s_text_hashes", "select doc_id, sha256(text) hash, sha256(text) = text_hash as same from documents where text is not null", "documents")(lambda d: d.filter("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"), (F.sha2("text", 256) == F.col("text_hash")).alias("same")))
 q("s_change_priority", "select path, case when processed is null and has_extracted_text is null then 0 when last_modified > timestamp '2022-10-01' then 1 when coalesce(has_extracted_text, false) and not coalesce(processed, false) then 2 else 3 end priority from registry", "registry")(lambda r: r.select("path", F.when(F.col("processed").isNull() & F.col("has_extracted_text").isNull(), 0).when(F.col("last_modified") > F.lit("2022-10-01").cast("timestamp_ntz"), 1).when(F.coalesce("has_extracted_text", F.lit(False)) & ~F.coalesce("processed", F.lit(False)), 2).otherwise(3).alias("priority")))
 q("w_insert_ignore", "select fingerprint, min_by(path, id) path from registry where fingerprint not in (select fingerprint from text_cache) group by 1", "registry", "text_cache")(lambda r, t: store.insert_ignore(t, r.select("id", "fingerprint", "path"), ["fingerprint"], "id").select("fingerprint", "path"))
@@ -159,3 +160,34 @@ q("w13_fact_lines", None, "facts")(lambda f: export.fact_lines(f, 0.4, 1000))
 q("w14_entity_lines", None, "facts", "entities")(lambda f, e: export.entity_lines(f, e))
 q("w15_timeline_json", None, "facts")(lambda f: export.timeline(f))
 q("stream_windowed_counts", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) n, round(avg(value), 6) mean from events group by 1, 2", "events")(lambda e: ingest.windowed_counts(e.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "ts", "event_type", "value").withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+def derived_chains(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains and links as facts imply them: a chain for each crime, linked by confidence."""
+    named = facts.filter("identified_crime is not null")
+    chain = F.pmod(F.crc32(F.col("identified_crime").cast("binary")), F.lit(1_000_000)).cast("long")
+    links = named.select(F.col("id"), chain.alias("chain_id"), F.col("id").alias("intelligence_id"), F.coalesce("category", F.lit("none")).alias("relationship_type"), F.coalesce("confidence", F.lit(0.5)).alias("relationship_strength"), F.col("created_at").alias("linked_at"))
+    heads = named.groupBy(F.col("identified_crime").alias("chain_name")).agg(F.max("created_at").alias("updated_at")).withColumn("id", F.pmod(F.crc32(F.col("chain_name").cast("binary")), F.lit(1_000_000)).cast("long")).withColumn("chain_type", F.lit("crime"))
+    return heads, links
+
+
+def chain_of(name: str) -> int:
+    import zlib
+
+    return zlib.crc32(name.encode()) % 1_000_000
+
+
+q("a11_all_chains", "select chain_name, count(*) items, round(avg(coalesce(confidence, 0.5)), 6) mean_strength, max(created_at) updated_at from (select *, identified_crime chain_name from facts where identified_crime is not null) group by 1", "facts")(lambda f: chains.all_chains(*derived_chains(f), 1000).select("chain_name", "items", "mean_strength", "updated_at"))
+q("a12_chain_statistics", "select count(*) items, round(avg(severity_score), 6) mean_severity, max(severity_score) top_severity, min(severity_score) least_severity, count(distinct category) categories, count(distinct coalesce(category, 'none')) relationships from facts where identified_crime = 'fraud'", "facts")(lambda f: chains.statistics(derived_chains(f)[1], f, chain_of("fraud")).withColumns({"categories": F.size("categories").cast("long"), "relationships": F.size("relationships").cast("long")}))
+q("c4_chain_items", "select id, fact_summary, filename, category, severity_score from facts where identified_crime = 'bribery'", "facts")(lambda f: chains.items(derived_chains(f)[1], f, chain_of("bribery")).select("id", "fact_summary", "filename", "category", "severity_score"))
+q("f6_chain_search", "select id, fact_summary from facts where identified_crime = 'theft' and (contains(lower(fact_summary), 'meeting') or contains(lower(filename), 'meeting') or contains(lower(category), 'meeting'))", "facts")(lambda f: chains.search(derived_chains(f)[1], f, chain_of("theft"), "Meeting").select("id", "fact_summary"))
+q("w10_chain_without", "select id from facts where identified_crime is not null and identified_crime <> 'theft'", "facts")(lambda f: chains.without_links(derived_chains(f)[1], chain_of("theft")).select("id"))
+q("n5_capped_weights", f"select id, round({W.replace('coalesce(severity_score, 0) / 5.0::double', 'least(coalesce(severity_score, 0) / 5.0::double, 1.0)')}, 6) weight from facts where {ALIVE}", "facts")(lambda f: f.filter(~F.coalesce("is_deleted", F.lit(False))).select("id", r6(weights.weight(True)).alias("weight")))
+q("n7_source_weights", f"with r as (select fingerprint, avg(quality_score) reliability from text_cache group by 1), w as (select id, ({W.replace('coalesce(severity_score, 0) / 5.0::double', 'least(coalesce(severity_score, 0) / 5.0::double, 1.0)')}) * coalesce(reliability, 1.0) w from facts left join r using (fingerprint) where {ALIVE}) select id, round(w, 9) weight, case when w >= 0.6 then 'primary' else 'secondary' end as label from w", "facts", "text_cache")(lambda f, t: weights.custom_weighted(f, t.groupBy("fingerprint").agg(F.avg("quality_score").alias("reliability"))))
+q("w4_status", "with e as (select fingerprint, max(created_at) made from text_cache group by 1) select id, coalesce(has_extracted_text, false) or e.made is not null has_text, coalesce(e.made, extracted_at) extracted_at, case when e.made is not null then 1.0::double else extraction_quality end quality from registry left join e using (fingerprint)", "registry", "text_cache")(lambda r, t: store.apply_status(r, t.select("fingerprint", F.lit("extracted").alias("status"), F.lit(False).alias("partial"), F.col("created_at").alias("at"))).select("id", F.col("has_extracted_text").alias("has_text"), "extracted_at", F.col("extraction_quality").alias("quality")))
+q("w7_error_states", "select id error_id, retry_count, last_modified + to_minutes(retry_count * 2) next_attempt, retry_count < 3 and not coalesce(processed, false) as open from registry where retry_count > 0 and last_modified is not null", "registry")(lambda r: store.error_states(r.filter("retry_count > 0 and last_modified is not null").select(F.col("id").alias("error_id"), "retry_count", F.col("last_modified").alias("at"), F.col("processed").alias("resolved"))).select("error_id", "retry_count", "next_attempt", "open"))
+q("w8_tag_removed", "select id, list_sort(list_filter(list_distinct(list_filter(list_transform(coalesce(tags, []), lambda t: trim(t)), lambda t: t <> '')), lambda t: t <> 'fraud')).array_to_string(',') as tags from facts", "facts")(lambda f: f.select("id", F.array_join(F.array_sort(queues.tag_removed(F.col("tags"), "fraud")), ",").alias("tags")))
+q("s14_extraction_counts", "select extraction_id, strlen(text)::bigint bytes, len(list_filter(regexp_split_to_array(trim(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))::int words from document_extractions where text is not null", "document_extractions")(lambda d: d.filter("text is not null").select("extraction_id", F.octet_length("text").cast("long").alias("bytes"), F.size(F.array_remove(F.split("text", r"[ \t\n\r\f]+"), "")).alias("words")))
+q("s17_page_counts", "select id, len(string_split(coalesce(extracted_text, ''), chr(12)))::int pages from text_cache", "text_cache")(lambda t: t.select("id", files.page_count(F.col("extracted_text")).alias("pages")))
+q("j9_chains_left", "select identified_crime chain_name, count(*) items from facts where identified_crime is not null group by 1", "facts")(lambda f: chains.all_chains(*derived_chains(f), 1000).select("chain_name", "items"))
+q("g11_resolve", "with a as (select id, value, entity_type, confidence from entities where value = 'Ostwick') select id, value, entity_type, 'place' alias_type, round(confidence, 6) alias_confidence from a", "entities")(lambda e: graph.resolve(e.filter("value = 'Ostwick'").select(F.col("id").alias("canonical_entity_id"), F.lit("the western port").alias("alias_value"), F.lit("place").alias("alias_type"), r6(F.col("confidence")).alias("confidence")), e, "the western port"))
