@@ -70,8 +70,8 @@ def value_centrality(facts: DataFrame, entities: DataFrame, min_confidence: floa
     return top.withColumn("centrality", r6(F.try_divide("occurrences", F.max("occurrences").over(Window.partitionBy()))))
 
 
-def people_pairs(facts: DataFrame, most_people: int = 64) -> DataFrame:
-    """Unordered pairs (a, b, n, strength) of people named in one fact; n counts facts. Lists are short; longer ones are cut into windows of most_people by shuffle-free expansion."""
+def people_pairs(facts: DataFrame) -> DataFrame:
+    """Unordered pairs (a, b, n, strength) of people named in one fact; n counts facts. Pairs come from the lists of single facts, which a sentence bounds, never from a group of rows."""
     named = facts.filter(alive()).select("id", F.array_sort(F.array_distinct(F.filter(F.transform("people", lambda p: F.trim(p)), lambda p: p.isNotNull() & (p != "")))).alias("p")).filter(F.size("p") > 1)
     first = named.select("id", "p", F.posexplode("p").alias("k", "a"))
     pairs = first.select("a", F.explode(F.expr("slice(p, k + 2, greatest(size(p) - k - 1, 0))")).alias("b"))
