@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,7 +18,11 @@ class Registry:
 
     def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def put(f: Query) -> Query:
-            self.queries[name] = f
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return f(spark, sf_dir)
+
+            self.queries[name] = run
             if sql:
                 self.sql[name] = sql
             return f
