@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FROM = "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőřśşšťùúûüūůűýÿźżž"
-TO = "aaaaaaaaacccdeeeeeeeiiiiilnnnooooooooorssstuuuuuuuyyzzz"
+TO = "aaaaaaaaacccdeeeeeeeiiiiilnnnoooooooorssstuuuuuuuyyzzz"
 
 
 def c(x: str | Column) -> Column:

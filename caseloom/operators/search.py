@@ -185,7 +185,13 @@ def combined(fact_table: DataFrame, entity_table: DataFrame, query: str, limit:
     return f.unionByName(e).orderBy("rank", "kind", "id").limit(limit)
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The inverted index: (term, doc, tf, positions). Written bucketed by term it serves many queries."""
-    at = df.select(F.col(id_col).alias("doc"), F.posexplode(tokens(text_col)).alias("pos", "term"))
-    return at.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def postings(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """The inverted index over columns: (column, term, doc, tf, positions). Written bucketed by term it serves many queries.
+
+    Positions count from 0 in each column; rows of one id count together, with the positions of all of them.
+    """
+    def words(c: str) -> Column:
+        return F.transform(tokens(c), lambda t, k: F.struct(F.lit(c).alias("column"), t.alias("term"), k.alias("pos")))
+
+    at = df.select(F.col(id_col).alias("doc"), F.explode(F.concat(*[words(c) for c in columns])).alias("w")).select("w.column", "w.term", "doc", "w.pos")
+    return at.groupBy("column", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))

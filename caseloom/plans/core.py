@@ -146,7 +146,7 @@ q("f2_search_facts_not", bm25(search.FACT_COLUMNS, ["scanner", "payment"], FACTS
 q("f2_search_phrase", None, "facts")(lambda f: search.facts(f, '"second signature" AND cross*'))
 q("f3_search_entities", bm25(search.ENTITY_COLUMNS, ["logistics"], "entities") + " select id, value, normalized_value, lower(entity_type) entity_type, confidence, rank from r where f0 > 0 and lower(entity_type) = 'organization' and confidence >= 0.5 order by rank, id limit 100", "entities")(lambda e: search.entities(e, "logistics", 100, ["ORGANIZATION"], 0.5))
 q("f4_search_combined", None, "facts", "entities")(lambda f, e: search.combined(f, e, "timber OR scanner"))
-q("f7_postings", "select term, id doc, count(*)::bigint tf, list_sort(list(pos)).list_transform(lambda x: x::int) positions from (select id, unnest(t) term, unnest(range(len(t))) pos from (select id, list_filter(string_split(regexp_replace(strip_accents(lower(coalesce(category, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') t from facts)) group by 1, 2", "facts")(lambda f: search.postings(f, "id", "category"))
+q("f7_postings", "select term, id doc, count(*)::bigint tf, list_sort(list(pos)).list_transform(lambda x: x::int) positions from (select id, unnest(t) term, unnest(range(len(t))) pos from (select id, list_filter(string_split(regexp_replace(strip_accents(lower(coalesce(category, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') t from facts)) group by 1, 2", "facts")(lambda f: search.postings(f, "id", search.FACT_COLUMNS))
 
 q("u1_chunks", "with t as (select id, file_name, extracted_text t, length(extracted_text) n from text_cache where extracted_text <> ''), l as (select *, case when n <= 2000 then 0 else ceil((n - 2000) / 1850.0)::int end m from t), c as (select *, unnest(range(m + 1))::int k from l) select id, k chunk_no, case when k = 0 then file_name else coalesce(file_name, '') || ' (Part ' || (k + 1) || '/' || (m + 1) || ')' end as label, substr(t, k * 1850 + 1, 2000) chunk from c", "text_cache")(lambda t: inference.chunks(t, "id", "file_name", "extracted_text"))
 q("u6_parse_facts", "select raw_id id, coalesce(source, 'unknown') source, coalesce(summary, 'No summary') summary, coalesce(category, 'other') category, coalesce(severity, 1) severity, len(coalesce(people, []))::int people from llm_facts", "llm_facts")(
