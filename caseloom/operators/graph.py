@@ -182,12 +182,39 @@ def resolve(aliases: DataFrame, entities: DataFrame, alias: str) -> DataFrame:
     return entities.join(a, F.col("id") == F.col("canonical_entity_id")).select("id", "value", "entity_type", "alias_type", "alias_confidence").orderBy(F.desc("alias_confidence"), "id")
 
 
+# "MR Smith" with small letters in the surname has initials, no title
+LEADING = r"(?u)^(?!\s*\p{Lu}{2}\s+\S*\p{Ll}\S*\s*$)(?i)\s*(?:(?:mr|mrs|ms|miss|mx|dr|prof|professor|sir|dame|lady|lord|rev|herr|frau|madame|monsieur|mme|mlle|hon|judge|capt|captain|sgt)(?:\.\s*|\s+))+(?=\S)"
+TRAILING = r"(?iu)(?:(?:^|[\s,]+)(?:jr|sr|ii|iii|iv|cfo|ceo|coo|cto|phd|ph\.d|md|esq|witness)\.?)+\s*$"
+PARTICLES = ["van", "von", "der", "den", "de", "da", "di", "del", "la", "le", "ter", "zu", "al", "bin", "dos"]
+
+
+def name_parts(value: str | Column) -> Column:
+    """The words of a person's name, given name first: without notes in brackets, titles and roles; "Smith, J. P.", "SMITH John" and "Smith J" turned, "JP Smith" parted."""
+    text = F.regexp_replace(value, r"\([^)]*\)", " ")
+    bare = F.transform(F.split(text, ","), lambda x: F.regexp_replace(F.regexp_replace(x, TRAILING, ""), LEADING, ""))
+    parts = F.filter(F.transform(bare, lambda x: F.filter(F.split(x, r"[\s.]+"), lambda w: w != "")), lambda p: F.size(p) > 0)
+    w = F.concat(F.flatten(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))), F.coalesce(F.get(parts, F.lit(0)), F.array().cast("array<string>")))
+    first, last = F.get(w, F.lit(0)), F.get(w, F.size(w) - 1)
+    rest = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
+    capitals, small = r"^[\p{Lu}'’-]+$", r"\p{Ll}"
+    # a surname has more than one letter, a given name written in capitals beside small letters at most two: its initials
+    turned = (F.size(parts) == 1) & (F.length(first) > 1) & ((F.length(last) == 1) | ((F.length(first) > 2) & first.rlike(capitals) & last.rlike(small)))
+    glued = first.rlike(r"^\p{Lu}{2}$") & last.rlike(small)
+    return F.when(turned, F.concat(rest, F.array(first))).when(glued, F.concat(F.split(first, ""), rest)).otherwise(w)
+
+
 def alias_matches(entities: DataFrame) -> DataFrame:
-    """Pairs of person values of one surname whose given names agree by initial ("J. Smith", "John Smith"): blocked by surname and initial, counted by value first."""
+    """Pairs of person values of one surname whose given names agree by initial ("J. Smith", "Dr. John P. Smith"): blocked by surname and initial, counted by value first.
+
+    Middle names agree by initial as far as both have them.
+    """
     p = entities.filter((F.lower("entity_type") == "person") & F.col("value").isNotNull()).select(F.trim("value").alias("value")).distinct()
-    w = F.split(F.regexp_replace("value", r"[.,]", ""), r"\s+")
-    k = p.withColumn("w", w).filter(F.size("w") == 2).select("value", F.lower(F.element_at("w", -1)).alias("last"), F.lower(F.substring(F.element_at("w", 1), 1, 1)).alias("initial"), (F.length(F.element_at("w", 1)) == 1).alias("short"))
-    return k.filter("short").alias("s").join(k.filter("not short").alias("l"), ["last", "initial"]).select(F.col("s.value").alias("alias_value"), F.col("l.value").alias("value"))
+    w, given = p.withColumn("w", name_parts("value")).filter(F.size("w") >= 2), F.get("w", F.lit(0))
+    middle = F.transform(F.filter(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), lambda x: ~F.lower(x).isin(PARTICLES)), lambda x: F.lower(F.substring(x, 1, 1)))
+    k = w.select("value", F.lower(F.get("w", F.size("w") - 1)).alias("last"), F.lower(F.substring(given, 1, 1)).alias("initial"), (F.length(given) == 1).alias("short"), middle.alias("middle"))
+    both = F.least(F.size("s.middle"), F.size("l.middle"))
+    agree = F.slice("s.middle", F.lit(1), both) == F.slice("l.middle", F.lit(1), both)
+    return k.filter("short").alias("s").join(k.filter("not short").alias("l"), ["last", "initial"]).filter(agree).select(F.col("s.value").alias("alias_value"), F.col("l.value").alias("value"))
 
 
 def locations(facts: DataFrame, entities: DataFrame, min_confidence: float = 0.0, limit: int = 100) -> DataFrame:
