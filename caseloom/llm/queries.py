@@ -67,7 +67,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p6_pieces")
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = splitting.limits(table(spark, sf_dir, "registry"), table(spark, sf_dir, "reasoner_config"))
-    texts = table(spark, sf_dir, "text_cache").join(sizes, "fingerprint")
+    texts = table(spark, sf_dir, "text_cache").join(sizes, "fingerprint", "left")  # a text without a limit is one piece
     return splitting.split(texts, "id", "extracted_text", "max_chars", "overlap")
 
 
