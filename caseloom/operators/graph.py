@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,36 +122,36 @@ def betweenness(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
         raise ValueError(f"more than {max_edges} edges: take the graph of a case or a community")
     names = sorted({x for r in rows for x in (r["a"], r["b"])})
     at = {x: k for k, x in enumerate(names)}
-    near: list[list[int]] = [[] for _ in names]
-    for r in rows:
-        near[at[r["a"]]].append(at[r["b"]])
-        near[at[r["b"]]].append(at[r["a"]])
+    n = len(names)
+    ends = np.array([(at[r["a"]], at[r["b"]]) for r in rows], np.int64).reshape(-1, 2)
+    heads, tails = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
+    first = np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=n))])
     spark = edges.sparkSession
-    shared, n = spark.sparkContext.broadcast(near), len(names)
+    shared = spark.sparkContext.broadcast((first, tails[np.argsort(heads, kind="stable")]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adj = shared.value
-        total = [0.0] * n
+        first, near = shared.value
+        degree, total = np.diff(first), np.zeros(n)
         for batch in batches:
             for s in batch.column("id").to_pylist():
-                order, parents, paths, dist = [], [[] for _ in range(n)], [0.0] * n, [-1] * n
+                paths, dist, steps = np.zeros(n), np.full(n, -1), []
                 paths[s], dist[s] = 1.0, 0
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in adj[v]:
-                        if dist[w] < 0:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            parents[w].append(v)
-                part = [0.0] * n
-                for w in reversed(order):
-                    for v in parents[w]:
-                        part[v] += paths[v] / paths[w] * (1 + part[w])
-                    if w != s:
-                        total[w] += part[w]
+                layer = np.array([s])
+                while len(layer):  # the edges from each layer of the breadth-first search to the next
+                    k = degree[layer]
+                    v = np.repeat(layer, k)
+                    w = near[np.arange(len(v)) + np.repeat(first[layer] - np.cumsum(k) + k, k)]
+                    dist[w[dist[w] < 0]] = len(steps) + 1
+                    on = dist[w] == len(steps) + 1
+                    v, w = v[on], w[on]
+                    layer, back = np.unique(w, return_inverse=True)
+                    paths[layer] = np.bincount(back, paths[v], len(layer))
+                    steps.append((v, w))
+                part = np.zeros(n)
+                for v, w in reversed(steps):
+                    np.add.at(part, v, paths[v] / paths[w] * (1 + part[w]))
+                part[s] = 0.0
+                total += part
         yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(total, pa.float64())], names=["k", "x"])
 
     sums = spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(scan, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x"))
