@@ -1,6 +1,7 @@
 """Problem 6: items above a size limit, cut into pieces under it at natural boundaries, with a stated overlap.
 
-Texts and files are worked on in ranges. A worker sees its range and a halo on each side, never a whole giant item:
+Files (`split_file`) are worked on in ranges: a worker sees its range and a halo on each side, never a whole giant item. `measure` scans
+table texts by ranges, but in the worker that has the text; `split` cuts each table text whole in one worker. The steps of the dealt method:
 
 1. measure: each range gives its length and its unbroken runs at both edges and inside; the tables of ranges are stitched per item
    (the edge runs of neighbours add up) and the lengths are summed to prefixes, so that each range knows its offset.
