@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 ROSTER_BLOCK = 20_000
-TOP_N = 8
 MIN_COSINE = 0.30
 MIN_LINKAGE = 0.08
 
@@ -247,8 +246,8 @@ class Index:
         x = np.array([(1 + np.log(n)) * self.weight(g) for g, n in c.items()])
         return list(c), x / (np.sqrt((x * x).sum()) or 1.0)
 
-    def nearest(self, form: str, n: int = TOP_N, least: float = MIN_COSINE) -> list[tuple[int, float]]:
-        """The n entries with the nearest forms, and their cosines."""
+    def nearest(self, form: str, least: float = MIN_COSINE) -> list[tuple[int, float]]:
+        """All entries with a form as near as least, the nearest first, and their cosines."""
         names, x = self.vector(form)
         rows, vals = [], []
         for g, v in zip(names, x):
@@ -262,7 +261,7 @@ class Index:
         best: dict[int, float] = {}
         for i in top[np.argsort(-scores[top])].tolist():
             best.setdefault(int(self.owners[i]), float(scores[i]))
-        return list(best.items())[:n]
+        return list(best.items())
 
 
 def meant(name: str, index: Index) -> list[tuple[int, int, float, str]]:
@@ -370,7 +369,7 @@ def _linked(spark: SparkSession, names: DataFrame, index: Index) -> DataFrame:
 
 
 def average_linkage(found: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(name, ref_id) of the names whose mean similarity to all names of their cluster is at least MIN_LINKAGE and beats other clusters'."""
+    """(name, ref_id) of the names whose mean similarity to all names of their cluster is at least MIN_LINKAGE. A filter: names are neither merged nor moved."""
     shared = found.sparkSession.sparkContext.broadcast(weights)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
