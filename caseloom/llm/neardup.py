@@ -7,10 +7,12 @@ has an odd product with it. If at most one word of a group differs, one of its m
 sets are equal. As r differing words spoil at most r/2 groups by two or more each, every pair within the radius collides in at least two
 groups of G: not a single pair is lost, whatever the data.
 
-Large buckets (above `bucket_cap`, from masks that kept only words everybody uses) aren't compared inside. A pair that collides only
-in large buckets does so in two groups, so their members are hashed again by each two large keys of different groups; buckets that stay
-large then are compared in full by a join that splits them. Inside buckets, 64-bit parity sketches, whose distance never exceeds
-that of the sets, discard most pairs; the rest are verified on the words themselves.
+Large buckets (above `bucket_cap`, from masks that kept only words everybody uses) aren't compared inside, nor are masks that kept no word,
+whose key says nothing: those rows are spread by record, not by key. A pair that collides only there does so in two groups, so the members are hashed again by
+each two such keys of different groups, of which at most one kept no word. Records left over (in buckets that are large again, or
+with two groups of which nothing was kept) are compared by shared triples (pairs, for longer sets) of their rarest words: two sets that are alike share at
+least ceil(t n) of n words, so at least three of the n - ceil(t n) + 3 first ones in any common order. Inside buckets, 64-bit parity
+sketches, whose distance never exceeds that of the sets, discard most pairs; the rest are verified on the words themselves.
 
 Exact copies are one representative throughout and are only expanded in the result; hot texts cost a row each, not a pair each.
 
@@ -21,8 +23,10 @@ count once; an empty table gives an empty result; further columns are ignored. T
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,9 @@ WORD = re.compile(r"[^\W_]+")
 BUCKET_CAP = 2048
 NON_REPS_BROADCAST = 500_000
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+EMPTY = 1 << 31  # info: the size from bit 32, this bit, the family's number from bit 24, the group
+TRIPLES_UP_TO = 24  # words of a set up to which triples are used
+COMMON_SHARE = 1e-3
 ODD = np.array([0, 1, 1, 0], dtype=bool)  # parity of a two-bit product
 
 
@@ -97,7 +104,7 @@ def fingerprints(texts: DataFrame, min_words: int) -> DataFrame:
 
 
 def keys_of(texts: DataFrame, min_words: int, largest: int, t: Fraction) -> DataFrame:
-    """(key, id, sketch, info): each record under every mask of its families. info packs the set's size and the group."""
+    """(key, id, sketch, info): each record under every mask of its families. info packs the set's size, whether the mask kept nothing, family and group."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -114,10 +121,12 @@ def keys_of(texts: DataFrame, min_words: int, largest: int, t: Fraction) -> Data
                 for g in range(groups):
                     mine = group == g
                     for v in (1, 2, 3):
-                        kept = _reduce(np.add, np.where(mine & ODD[code & v], words, np.uint64(0)), n)
+                        through = mine & ODD[code & v]
+                        kept = _reduce(np.add, np.where(through, words, np.uint64(0)), n)
+                        nothing = ~_reduce(np.logical_or, through, n)
                         slot = np.uint64(((r << 32) + g * 4 + v) * int(C1) & (2**64 - 1))
                         key = (kept ^ (kept >> np.uint64(31))) * C2 + slot
-                        info = n * 65536 + g
+                        info = (n << 32) + nothing * EMPTY + (int(r).bit_length() << 24) + g
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(sketch), pa.array(info)], names=["key", "id", "sketch", "info"])
 
     return texts.mapInArrow(scan, "key bigint, id bigint, sketch bigint, info bigint")
@@ -130,7 +139,7 @@ def _pairs(key: np.ndarray, ident: np.ndarray, sketch: np.ndarray, info: np.ndar
     large = np.repeat(length > cap, length)
     left = np.repeat(first + length, length) - np.arange(len(key))  # rows from here to the bucket's end
     at = np.flatnonzero(~large & (left > 1))
-    n = info >> 16
+    n = info >> 32
     out_a, out_b = [], []
     d = 1
     while len(at):
@@ -170,6 +179,12 @@ def compare(keys: DataFrame, cap: int, t: Fraction) -> DataFrame:
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            nothing = (cols[3] & EMPTY) != 0
+            if nothing.any():
+                yield out(cols[1][nothing], None, cols[0][nothing], cols[2][nothing], cols[3][nothing])
+                cols = [c[~nothing] for c in cols]
+                if not len(cols[0]):
+                    continue
             if running is not None:
                 stop = int(np.searchsorted(cols[0], running, "right"))
                 if stop:
@@ -196,23 +211,86 @@ def compare(keys: DataFrame, cap: int, t: Fraction) -> DataFrame:
         if rows and len(rows[0]):
             yield from flush(rows)
 
-    spread = keys.repartition("key").sortWithinPartitions("key")
+    place = F.when(F.col("info").bitwiseAND(EMPTY) != 0, F.xxhash64("id")).otherwise(F.col("key"))
+    spread = keys.repartition(place).sortWithinPartitions("key")
     return spread.mapInArrow(scan, "a bigint, b bigint, key bigint, sketch bigint, info bigint")
 
 
+def shared_words(n: int, t: Fraction) -> int:
+    """How many words two sets, the larger of n words, are asked to share."""
+    return min(3 if n <= TRIPLES_UP_TO else 2, -(-n * t.numerator // t.denominator))
+
+
+def by_rare_words(texts: DataFrame, t: Fraction) -> DataFrame:
+    """(key, id, sketch, info): each record under every triple (pair, for longer sets) of its first words in the order of rising frequency."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen, n = _Hashes(), Counter(), 0
+        for b in batches:
+            flat, sizes = _sets(b.column("text").to_pylist(), hashes)
+            seen.update(flat.view(np.int64).tolist())
+            n += len(sizes)
+            if len(seen) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.int64()), pa.array([*seen.values(), n], pa.int64())], names=["word", "n"])
+
+    texts = cut(texts, "neardup-rest-texts")
+    counted = cut(texts.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "neardup-rest-words")
+    total = counted.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    # words of a share of COMMON_SHARE and more: at most the mean size of a set, divided by it; others are in the order of their hashes
+    common = {r["word"]: r["n"] for r in counted.filter(F.col("word").isNotNull() & (F.col("n") > COMMON_SHARE * total)).collect()}
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            flat, sizes = _sets(b.column("text").to_pylist(), hashes)
+            key, own, sketch, info = [], [], [], []
+            start = 0
+            for i, n in zip(b.column("id").to_pylist(), sizes.tolist()):
+                words = flat[start : start + n]
+                start += n
+                if not n:
+                    continue
+                # how many words must be shared is a matter of the larger of the two sets, so one record may need several kinds of keys
+                kinds = {shared_words(max(n, m), t) for m in range(-(-n * t.numerator // t.denominator), n * t.denominator // t.numerator + 1)}
+                order = sorted(words.view(np.int64).tolist(), key=lambda w: (shared.value.get(w, 0), w))
+                s = np.bitwise_xor.reduce(np.uint64(1) << (words & np.uint64(63))).view(np.int64)
+                least = -(-n * t.numerator // t.denominator)
+                for k in kinds:
+                    first = order[: n - least + k]
+                    made = {hash((k, *x)) for x in combinations(sorted(first), k)}
+                    key += made
+                    own += [i] * len(made)
+                    sketch += [int(s)] * len(made)
+                    info += [n << 32] * len(made)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own, pa.int64()), pa.array(sketch, pa.int64()), pa.array(info, pa.int64())], names=["key", "id", "sketch", "info"])
+
+    return texts.mapInArrow(keys, "key bigint, id bigint, sketch bigint, info bigint")
+
+
 def candidates(texts: DataFrame, min_words: int, largest: int, t: Fraction, cap: int = BUCKET_CAP) -> DataFrame:
     """Different pairs (a, b), a < b, of representatives: all that are alike, and few others."""
     one = cut(compare(keys_of(texts, min_words, largest, t), cap, t), "neardup-buckets")
     large = one.filter("b is null")
-    per_record = large.groupBy("a").agg(F.collect_list(F.struct("key", (F.col("info") % 65536).alias("g"))).alias("ks"), F.first("sketch").alias("sketch"), F.first("info").alias("info"))
-    both = "filter(flatten(transform(ks, x -> transform(filter(ks, y -> y.g > x.g), y -> xxhash64(x.key, y.key)))), k -> k is not null)"
+    low = F.col("info").bitwiseAND(0xFFFFFFFF)
+    per_record = large.groupBy("a").agg(
+        F.collect_set(F.struct("key", (low.bitwiseAND(0xFFFFFF)).alias("g"), F.shiftright(low.bitwiseAND(0x7F000000), 24).alias("k"), (low.bitwiseAND(EMPTY) != 0).alias("e"))).alias("ks"),  # at most three for each group
+        F.first("sketch").alias("sketch"), F.first(F.col("info").bitwiseAND(~0xFFFFFFFF)).alias("info"),
+    )
+    per_record = cut(per_record, "neardup-large")
+    both = "flatten(transform(ks, x -> transform(filter(ks, y -> y.g > x.g and y.k = x.k and not (x.e and y.e)), y -> xxhash64(x.key, y.key))))"
     again = per_record.select(F.expr(f"explode({both})").alias("key"), F.col("a").alias("id"), "sketch", "info")
     two = cut(compare(again, cap, t), "neardup-buckets2")
-    rest = two.filter("b is null").select("key", "a", "sketch", "info")
-    x, y = rest.alias("x"), rest.alias("y")
-    limit = ((F.shiftright(F.col("x.info"), 16) + F.shiftright(F.col("y.info"), 16)) * (t.denominator - t.numerator) / (t.denominator + t.numerator)).cast("double")
+    bare = per_record.filter("exists(ks, x -> x.e and exists(ks, y -> y.e and y.k = x.k and y.g > x.g))").select("a")
+    rest = cut(two.filter("b is null").select("a").union(bare).distinct(), "neardup-rest")
+    three = cut(compare(by_rare_words(texts.join(rest.withColumnRenamed("a", "id"), "id", "left_semi"), t), cap, t), "neardup-buckets3")
+    left = three.filter("b is null").select("key", "a", "sketch", "info")
+    x, y = left.alias("x"), left.alias("y")
+    limit = ((F.shiftright(F.col("x.info"), 32) + F.shiftright(F.col("y.info"), 32)) * (t.denominator - t.numerator) / (t.denominator + t.numerator)).cast("double")
     full = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.a") < F.col("y.a")) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= limit))
-    pairs = one.filter("b is not null").select("a", "b").union(two.filter("b is not null").select("a", "b")).union(full.select("x.a", "y.a"))
+    pairs = one.filter("b is not null").select("a", "b").union(two.filter("b is not null").select("a", "b")).union(three.filter("b is not null").select("a", "b")).union(full.select("x.a", "y.a"))
     return pairs.filter("a < b").distinct()  # a repeated row isn't a pair
 
 
