@@ -1,14 +1,18 @@
 """Problem 4: typed names linked to the entries of a roster.
 
-Every distinct typed name and every usual form of every entry (reordered, with initials, with nicknames, without legal form, ...) is a
-vector of character n-grams, weighted by how rare an n-gram is among all names. A sparse top-n cosine join finds the entries whose
-forms are nearest. A candidate above the threshold is checked word by word (given name, initials, surname, legal form), as
-different people share surnames. The names an entry has got form its cluster; by average linkage, a name stays in a cluster only if its
-mean similarity to all members is high enough (the mean over members is the product with their mean vector, so no cluster is ever
-collected), and a name that two entries claim alike is in neither.
-
-The roster is the queried reference set: it is processed in blocks of ROSTER_BLOCK entries, each block's index being broadcast, so its
-size on a worker is bounded whatever the roster's length. Names are all kept: each distinct spelling is looked up once, rows are joined back.
+1. Every part of a typed name (the whole, and each of several joined names) and every usual form of every entry (reordered, with initials, with
+   nicknames, without legal form, ...) is a unit vector of character n-grams, weighted by how rare an n-gram is among all names.
+2. A distributed sparse cosine join on n-grams finds all pairs of at least MIN_COSINE. Names are posted under the n-grams of a prefix only: in
+   the order of falling weight, those up to where the rest is shorter than MIN_COSINE / 2. An entry is posted once for each n-gram, with the
+   largest weight it has in any form. The sum of products plus the length of the rest is no less than the cosine with any form, so no pair is lost.
+3. Each pair above the threshold is checked word by word (given name, initials, surname, legal form), as different people share surnames. The
+   entries with the fewest edits stay.
+4. Average linkage: each entry starts a cluster of its own forms (two entries never merge, as they are different). In rounds, names with one entry left join its
+   cluster; a name that several entries claim alike joins the cluster to whose members its mean similarity is highest, if by MARGIN, and belongs to
+   none otherwise; a name whose mean similarity to its cluster is under MIN_LINKAGE leaves it. The mean over members is the
+   product with their mean vector, so no cluster is ever collected in one place.
+
+Names are all kept: each distinct spelling is looked up once, rows are joined back. Roster and nickname tables are joined; they are broadcast behind a check of their size.
 
 Defined results: null lists and null, blank or placeholder elements name nobody; positions count from 0; an element that is exactly a
 full_name is no variant; one naming two entries gives two rows; repeated rows give the same result once; empty tables give an empty table.
@@ -18,21 +22,24 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log, sqrt
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-ROSTER_BLOCK = 20_000
+SMALL = 200_000  # rows up to which a table is broadcast
 MIN_COSINE = 0.30
-MIN_LINKAGE = 0.08
+STOP_SHARE = 0.05  # n-grams that are surely (by three standard errors) in a larger share of the names have no weight
+MIN_LINKAGE = 0.03
+MARGIN = 1.15  # by how much the nearest of several clusters must be nearer than the next
+ROUNDS = 3
 
 #: Short forms in general use, beside the nickname table.
 COMMON_NICKNAMES = {
@@ -130,7 +137,7 @@ def forms(e: Entry) -> set[str]:
     if e.person:
         given = {e.given, *e.nick}
         out = {f"{g} {e.last}" for g in given} | {f"{e.given[:1]} {e.last}"}
-        return out | ({f"{e.given} {e.middle} {e.last}", f"{e.given[:1]} {e.middle} {e.last}"} if e.middle else set())
+        return out | ({f"{e.given} {e.middle} {e.last}", f"{e.given[:1]} {e.middle} {e.last}", f"{e.given[:1]}{e.middle} {e.last}"} if e.middle else set())
     p = " ".join(e.parts)
     return {f"{p} {e.legal}".strip(), p, " ".join(e.parts[:2]), "".join(x[:1] for x in e.parts) + " " + e.legal}
 
@@ -157,7 +164,7 @@ def short_form(typed: str, given: str, nick: frozenset[str]) -> bool:
     return any(len(s) >= 3 and s != given and (s in nick or given.startswith(s) or (len(s) >= 4 and given.endswith(s))) for s in stems)
 
 
-def person_cost(typed: list[str], comma: int, e: Entry, known: Known = NONE) -> int:
+def person_cost(typed: tuple[str, ...], comma: int, e: Entry, known: Known = NONE) -> int:
     """Edits by which typed words mean the person, 9 if they don't. comma: how many words stand before a comma, or 0."""
     best = 9
     orders = [typed[comma:] + typed[:comma]] if comma else [typed, typed[1:] + typed[:1]]
@@ -184,7 +191,7 @@ def person_cost(typed: list[str], comma: int, e: Entry, known: Known = NONE) ->
     return best
 
 
-def firm_cost(typed: list[str], e: Entry, known: Known = NONE) -> int:
+def firm_cost(typed: tuple[str, ...], e: Entry, known: Known = NONE) -> int:
     """Edits by which typed words mean the firm, 9 if they don't."""
     w = [x for x in typed if x not in ("the", "and", "company", "firm")]
     said = "company" in typed or "firm" in typed
@@ -217,90 +224,53 @@ def grams(form: str) -> list[str]:
     return out
 
 
-class Index:
-    """Forms of entries as weighted n-gram vectors, by n-gram."""
-
-    def __init__(self, entries: list[Entry], weights: dict[str, float]) -> None:
-        self.entries, self.weights = entries, weights
-        self.known = Known(frozenset(x for e in entries if e.person for x in (e.given, *e.nick)), frozenset(x for e in entries for x in ((e.last,) if e.person else e.parts[:1])))
-        postings: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
-        self.owner: list[int] = []
-        for k, e in enumerate(entries):
-            for f in forms(e):
-                c = Counter(grams(f))
-                v = {g: (1 + np.log(n)) * self.weight(g) for g, n in c.items()}
-                norm = np.sqrt(sum(x * x for x in v.values())) or 1.0
-                for g, x in v.items():
-                    rows, vals = postings[g]
-                    rows.append(len(self.owner))
-                    vals.append(x / norm)
-                self.owner.append(k)
-        self.postings = {g: (np.array(r, np.int32), np.array(v, np.float32)) for g, (r, v) in postings.items()}
-        self.owners = np.array(self.owner, np.int32)
-
-    def weight(self, gram: str) -> float:
-        return self.weights.get(gram, self.weights.get("", 1.0))
-
-    def vector(self, form: str) -> tuple[list[str], np.ndarray]:
-        c = Counter(grams(form))
-        x = np.array([(1 + np.log(n)) * self.weight(g) for g, n in c.items()])
-        return list(c), x / (np.sqrt((x * x).sum()) or 1.0)
-
-    def nearest(self, form: str, least: float = MIN_COSINE) -> list[tuple[int, float]]:
-        """All entries with a form as near as least, the nearest first, and their cosines."""
-        names, x = self.vector(form)
-        rows, vals = [], []
-        for g, v in zip(names, x):
-            if (p := self.postings.get(g)) is not None:
-                rows.append(p[0])
-                vals.append(p[1] * v)
-        if not rows:
-            return []
-        scores = np.bincount(np.concatenate(rows), np.concatenate(vals), len(self.owners))
-        top = np.flatnonzero(scores >= least)
-        best: dict[int, float] = {}
-        for i in top[np.argsort(-scores[top])].tolist():
-            best.setdefault(int(self.owners[i]), float(scores[i]))
-        return list(best.items())
-
-
-def meant(name: str, index: Index) -> list[tuple[int, int, float, str]]:
-    """(ref_id, edits, cosine, form) of the entries a typed name may mean; more than one with the same edits are ambiguous."""
-    text = unicodedata.normalize("NFC", name).strip()
-    text = re.sub(r"\([^)]*\)", " ", text)
+def weigh(gram: str, weights: dict[str, float]) -> float:
+    return weights.get(gram, weights.get("", 1.0))
+
+
+def vector(form: str, weights: dict[str, float]) -> list[tuple[str, float]]:
+    """The unit vector of a form, heaviest n-grams first."""
+    c = Counter(grams(form))
+    x = sorted(((weigh(g, weights), g, n) for g, n in c.items()), reverse=True)
+    length = sqrt(sum(((1 + log(n)) * w) ** 2 for w, _, n in x)) or 1.0
+    return [(g, (1 + log(n)) * w / length) for w, g, n in x if w > 0]
+
+
+def prefix(v: list[tuple[str, float]], least: float = MIN_COSINE / 2) -> tuple[list[tuple[str, float]], float]:
+    """The n-grams up to where the rest is shorter than least, and the length of the rest."""
+    rest = sum(x * x for _, x in v)
+    for k, (_, x) in enumerate(v):
+        if rest < least * least:
+            return v[:k], sqrt(max(0.0, rest))
+        rest -= x * x
+    return v, 0.0
+
+
+@lru_cache(maxsize=50_000)
+def typed_words(text: str) -> tuple[tuple[str, ...], int]:
+    """The words of a typed name without titles, and how many of them stand before a comma (0 if that says nothing)."""
+    text = re.sub(r"\([^)]*\)", " ", unicodedata.normalize("NFC", text).strip())
     head, _, tail = text.partition(",")
     typed = [w for w in words(text) if w not in TITLES]
-    if len(typed) < 2 or len(typed) > 8:
-        return []
     before = [w for w in words(head) if w not in TITLES]
-    comma = len(before) if tail and len(before) == 1 and len(typed) <= 3 else 0
-    form = " ".join(typed[comma:] + typed[:comma])
-    found = []
-    by_id: dict[int, Entry] = {}
-    for k, cos in index.nearest(form):
-        e = index.entries[k]
-        by_id[e.ref_id] = e
-        cost = person_cost(typed, comma, e, index.known) if e.person else firm_cost(typed, e, index.known)
-        if cost < 9:
-            found.append((e.ref_id, cost, cos, form))
-    least = min((c for _, c, _, _ in found), default=9)
-    best = [x for x in found if x[1] == least]
-    if len(best) > 1:  # É. and E. are the same apart from accents only
-        same = [x for x in best if by_id[x[0]].full_name[:1] in text]
-        best = same if len(same) == 1 else best
-    return best
+    return tuple(typed), len(before) if tail and len(before) == 1 and len(typed) <= 3 else 0
 
 
-def link(name: str, index: Index) -> list[tuple[int, float, str]]:
-    """(ref_id, cosine, form) for each entry a typed element means: none, one, or one for each of joined names."""
-    whole = meant(name, index)
-    if len(whole) == 1:
-        return [(r, c, f) for r, _, c, f in whole]
+def parts_of(name: str) -> list[tuple[int, str]]:
+    """The whole name as part 0, and each of several joined names."""
     parts = [p for p in JOINT.split(name) if p and p.strip()]
-    if not 1 < len(parts) < 6:
-        return []
-    each = [meant(p, index) for p in parts]
-    return [(r, c, f) for m in each if len(m) == 1 for r, _, c, f in m]
+    return [(0, name), *(enumerate(parts, 1) if len(parts) > 1 else [])]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    cols = [x.split(" ", 1) for x in schema.split(", ")]
+    values = list(zip(*rows)) or [[]] * len(cols)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(values, cols)], names=[n for n, _ in cols])
+
+
+def _columns(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(b.column(n).to_pylist() for n in names))
 
 
 def mentions(df: DataFrame, tab: str, id_col: str, people: str = "people") -> DataFrame:
@@ -328,69 +298,199 @@ def gram_weights(names: DataFrame) -> dict[str, float]:
     table = names.mapInArrow(scan, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     total = (table.filter("gram = ''").select(F.sum("n")).first()[0] or 0) + 1
     rows = table.filter((F.col("gram") != "") & (F.col("n") > total / 20_000)).collect()
-    return {r["gram"]: float(np.log(1 + total / r["n"])) for r in rows} | {"": float(np.log(1 + 20_000))}
+    return {r["gram"]: log(1 + total / r["n"]) if r["n"] - 3 * sqrt(r["n"]) <= STOP_SHARE * total else 0.0 for r in rows} | {"": log(1 + 20_000)}
 
 
-def links(mentioned: DataFrame, roster: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """(tab, rec_id, person_pos, ref_id) of each element that names an entry otherwise than by its full_name."""
-    spark = mentioned.sparkSession
-    exact = roster.select(F.col("full_name").alias("name")).distinct()
-    if exact.limit(ROSTER_BLOCK + 1).count() <= ROSTER_BLOCK:
-        exact = F.broadcast(exact)
-    variants = mentioned.join(exact, "name", "left_anti")
-    names = cut(variants.select("name").distinct(), "names-distinct")
-    weights = gram_weights(names)
-    nick: dict[str, set[str]] = defaultdict(set, {k: set(v.split()) for k, v in COMMON_NICKNAMES.items()})
-    for r in nicknames.filter("formal is not null and short is not null").limit(100_000).collect():  # a fixed table
-        nick[canonical(r["formal"])].add(canonical(r["short"]))
-    found = None
-    blocks = max(1, -(-roster.count() // ROSTER_BLOCK))
-    ranked = roster.filter("ref_id is not null and full_name is not null").select("ref_id", "kind", "full_name", (F.pmod(F.xxhash64("ref_id"), F.lit(blocks))).alias("block"))
-    for k in range(blocks):
-        entries = [entry(r["ref_id"], r["kind"], r["full_name"], nick) for r in ranked.filter(F.col("block") == k).toLocalIterator()]
-        part = _linked(spark, names, Index(entries, weights))
-        found = part if found is None else found.unionByName(part)
-    assert found is not None
-    found = cut(found, "names-found")
-    kept = average_linkage(found, weights)
-    return variants.join(kept, "name").select("tab", "rec_id", "person_pos", "ref_id").distinct()
-
-
-def _linked(spark: SparkSession, names: DataFrame, index: Index) -> DataFrame:
-    shared = spark.sparkContext.broadcast(index)
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def entries_of(roster: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """(ref_id, kind, full_name, nick) of each entry, with the short forms of its given name."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(canonical(f), canonical(s)) for f, s in _columns(b, "formal", "short")], "given string, nick string")
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(i, k, n, (words(n) or [""])[0] if k == "person" else "") for i, k, n in _columns(b, "ref_id", "kind", "full_name")], "ref_id bigint, kind string, full_name string, given string")
+
+    known = nicknames.select("formal", "short").filter("formal is not null and short is not null").mapInArrow(short, "given string, nick string")
+    common = roster.sparkSession.createDataFrame([(g, n) for g, ns in COMMON_NICKNAMES.items() for n in ns.split()], "given string, nick string")
+    # short forms of one given name: as many as a language has
+    nick = known.union(common).groupBy("given").agg(F.array_sort(F.collect_set("nick")).alias("nick"))
+    rows = roster.filter("ref_id is not null and full_name is not null").select(F.col("ref_id").cast("long").alias("ref_id"), F.col("kind"), F.col("full_name")).distinct()
+    return rows.mapInArrow(given, "ref_id bigint, kind string, full_name string, given string").join(nick, "given", "left").select("ref_id", "kind", "full_name", F.coalesce("nick", F.array().cast("array<string>")).alias("nick"))
+
+
+def entry_of(ref_id: int, kind: str, full_name: str, nick: list[str]) -> Entry:
+    w = words(full_name)
+    return entry(ref_id, kind, full_name, {w[0]: set(nick)} if w else {})
+
+
+PART = "name string, part int, text string, form string"
+POSTING = "form string, gram string, x double, rest double"
+
+
+def parts_table(names: DataFrame) -> DataFrame:
+    """(name, part, text, form) of the parts of each name that have two words or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(n, *x) for n in b.column("name").to_pylist() for x in link(n, shared.value)]
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.float64(), pa.string()))], names=["name", "ref_id", "cosine", "form"])
+            rows = []
+            for name in b.column("name").to_pylist():
+                for k, text in parts_of(name):
+                    typed, comma = typed_words(text)
+                    if len(typed) > 1:
+                        rows.append((name, k, text, " ".join(typed[comma:] + typed[:comma])))
+            yield _batch(rows, PART)
+
+    return names.mapInArrow(scan, PART)
+
+
+def candidates(parts: DataFrame, entries: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Different (form, ref_id) whose cosine may be MIN_COSINE: all that are that near, and few others."""
+    shared = parts.sparkSession.sparkContext.broadcast(weights)
+
+    def of_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for f in b.column("form").to_pylist():
+                p, rest = prefix(vector(f, shared.value))
+                rows += [(f, g, x, rest) for g, x in p]
+            yield _batch(rows, POSTING)
+
+    def of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, k, n, nick in _columns(b, "ref_id", "kind", "full_name", "nick"):
+                most: dict[str, float] = {}
+                for f in forms(entry_of(i, k, n, nick)):
+                    for g, x in vector(f, shared.value):
+                        most[g] = max(x, most.get(g, 0.0))
+                rows += [(i, g, x) for g, x in most.items()]
+            yield _batch(rows, "ref_id bigint, gram string, y double")
+
+    typed = parts.select("form").distinct().mapInArrow(of_names, POSTING)
+    posted = entries.mapInArrow(of_entries, "ref_id bigint, gram string, y double")
+    met = typed.join(small(posted, 5 * SMALL), "gram").groupBy("form", "ref_id").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.first("rest").alias("rest"))
+    return met.filter(F.col("s") + F.col("rest") >= MIN_COSINE).select("form", "ref_id")
+
+
+def known_words(parts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(form, given, last) of each form: those of its words that are a given name or a surname on the roster, so no misspelling of another."""
+
+    def of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for e in (entry_of(*x) for x in _columns(b, "ref_id", "kind", "full_name", "nick")):
+                rows += [(w, "given") for w in ((e.given, *e.nick) if e.person else ())] + [(w, "last") for w in ((e.last,) if e.person else e.parts[:1])]
+            yield _batch(rows, "word string, sort string")
+
+    known = entries.mapInArrow(of_entries, "word string, sort string").filter("word <> ''").distinct()
+    spelt = parts.select("form").distinct().select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
+    # the words of one form
+    return spelt.join(small(known), "word").groupBy("form").agg(F.collect_set(F.when(F.col("sort") == "given", F.col("word"))).alias("given"), F.collect_set(F.when(F.col("sort") == "last", F.col("word"))).alias("last"))
 
-    return names.mapInArrow(scan, "name string, ref_id bigint, cosine double, form string")
 
+FOUND = "name string, part int, form string, ref_id bigint, edits int, same boolean"
 
-def average_linkage(found: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(name, ref_id) of the names whose mean similarity to all names of their cluster is at least MIN_LINKAGE. A filter: names are neither merged nor moved."""
-    shared = found.sparkSession.sparkContext.broadcast(weights)
+
+def checked(parts: DataFrame, pairs: DataFrame, entries: DataFrame, known: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(name, part, form, ref_id, edits, same) of the pairs that are as near as MIN_COSINE and agree word by word."""
+    shared = parts.sparkSession.sparkContext.broadcast(weights)
+    empty = F.array().cast("array<string>")
+    rows = pairs.join(small(entries), "ref_id").join(known, "form", "left").select("form", "ref_id", "kind", "full_name", "nick", F.coalesce("given", empty).alias("given"), F.coalesce("last", empty).alias("last"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, tuple[Entry, list[dict[str, float]]]] = {}
+        for b in batches:
+            out = []
+            if len(met) > 50_000:
+                met.clear()
+            for name, part, text, form, ref, kind, full, nick, given, last in _columns(b, "name", "part", "text", "form", "ref_id", "kind", "full_name", "nick", "given", "last"):
+                if ref not in met:
+                    e = entry_of(ref, kind, full, nick)
+                    met[ref] = e, [dict(vector(f, shared.value)) for f in sorted(forms(e))]
+                e, vectors = met[ref]
+                typed, comma = typed_words(text)
+                k = Known(frozenset(given), frozenset(last))
+                edits = person_cost(typed, comma, e, k) if e.person else firm_cost(typed, e, k)
+                if edits < 9:
+                    v = vector(form, shared.value)
+                    if max((sum(x * u.get(g, 0.0) for g, x in v) for u in vectors), default=0.0) >= MIN_COSINE:
+                        out.append((name, part, form, ref, edits, full[:1] in unicodedata.normalize("NFC", text)))
+            yield _batch(out, FOUND)
+
+    return parts.join(rows, "form").select("name", "part", "text", "form", "ref_id", "kind", "full_name", "nick", "given", "last").mapInArrow(scan, FOUND)
+
+
+def fewest(found: DataFrame) -> DataFrame:
+    """Of each part the entries with the fewest edits; of entries that differ by an accent only (É. and E.), the one written so. claims: how many are left."""
+    at = ["name", "part"]
+    best = found.join(found.groupBy(*at).agg(F.min("edits").alias("least")), at).filter("edits = least")
+    counted = best.join(best.groupBy(*at).agg(F.count_if("same").alias("alike"), F.count(F.lit(1)).alias("n")), at)
+    left = counted.filter("n = 1 or alike <> 1 or same")
+    return left.select(*at, "form", "ref_id", F.when(F.col("alike") == 1, 1).otherwise(F.col("n")).alias("claims"))
+
+
+def average_linkage(claimed: DataFrame, entries: DataFrame, weights: dict[str, float], rounds: int = ROUNDS, least: float = MIN_LINKAGE, margin: float = MARGIN) -> DataFrame:
+    """(name, part, ref_id) of the names in the cluster of each entry. claimed: (name, part, form, ref_id, claims)."""
+    shared = claimed.sparkSession.sparkContext.broadcast(weights)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for b in batches:
-            at, gs, xs = [], [], []
-            for i, f in enumerate(b.column("form").to_pylist()):
-                c = Counter(grams(f))
-                v = np.array([(1 + np.log(n)) * w.get(g, w[""]) for g, n in c.items()])
-                at += [i] * len(c)
-                gs += list(c)
-                xs += (v / (np.sqrt((v * v).sum()) or 1.0)).tolist()
-            rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("name").take(rows), b.column("ref_id").take(rows), pa.array(gs, pa.string()), pa.array(xs, pa.float64())], names=["name", "ref_id", "gram", "x"])
-
-    long = found.select("name", "ref_id", "form").mapInArrow(vectors, "name string, ref_id bigint, gram string, x double")
-    size = found.groupBy("ref_id").agg(F.count(F.lit(1)).alias("members"))
-    centre = long.groupBy("ref_id", "gram").agg(F.sum("x").alias("s"))
-    mean = long.join(centre, ["ref_id", "gram"]).groupBy("name", "ref_id").agg(F.sum(F.col("x") * F.col("s")).alias("s")).join(size, "ref_id")
-    scored = mean.select("name", "ref_id", (F.col("s") / F.col("members")).alias("linkage"))
-    return scored.filter(F.col("linkage") >= MIN_LINKAGE).select("name", "ref_id")
+            yield _batch([(f, g, x) for f in b.column("form").to_pylist() for g, x in vector(f, shared.value)], "form string, gram string, x double")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(i, f) for i, k, n, nick in _columns(b, "ref_id", "kind", "full_name", "nick") for f in sorted(forms(entry_of(i, k, n, nick)))], "ref_id bigint, form string")
+
+    seeds = entries.mapInArrow(own, "ref_id bigint, form string").join(claimed.select("ref_id").distinct(), "ref_id", "left_semi")
+    every = cut(claimed.select("form").union(seeds.select("form")).distinct().mapInArrow(vectors, "form string, gram string, x double"), "names-vectors")
+    seeds = cut(seeds, "names-seeds")
+    members = claimed.filter("claims = 1").select("form", "ref_id").distinct()
+    joined = None
+    for _ in range(rounds):
+        inside = seeds.select("form", "ref_id").union(members).distinct()
+        size = inside.groupBy("ref_id").agg(F.count(F.lit(1)).alias("size"))
+        centre = inside.join(every, "form").groupBy("ref_id", "gram").agg(F.sum("x").alias("s"))
+        pairs = claimed.select("form", "ref_id").distinct()
+        mean = pairs.join(every, "form").join(centre, ["ref_id", "gram"]).groupBy("form", "ref_id").agg(F.sum(F.col("x") * F.col("s")).alias("s")).join(size, "ref_id").select("form", "ref_id", (F.col("s") / F.col("size")).alias("linkage"))
+        scored = claimed.join(mean, ["form", "ref_id"])
+        at = ["name", "part"]
+        top = scored.groupBy(*at).agg(F.max(F.struct("linkage", "ref_id")).alias("top"), F.max("claims").alias("c"))
+        other = scored.join(top, at).groupBy(*at).agg(F.max(F.when(F.col("ref_id") != F.col("top.ref_id"), F.col("linkage"))).alias("second"))
+        best = scored.join(top, at).filter((F.col("ref_id") == F.col("top.ref_id")) & (F.col("linkage") >= least)).join(other, at)
+        clear = best.filter((F.col("c") == 1) | F.col("second").isNull() | (F.col("linkage") >= margin * F.col("second")))
+        now = cut(clear.select(*at, "form", "ref_id").distinct(), "names-clusters")
+        grown = now.select("form", "ref_id").distinct()
+        settled = joined is not None and joined.count() == now.count() and grown.exceptAll(joined.select("form", "ref_id").distinct()).isEmpty()
+        joined, members = now, grown
+        if settled or claimed.filter("claims > 1").isEmpty():
+            break
+    assert joined is not None
+    return joined.select("name", "part", "ref_id")
+
+
+def links(mentioned: DataFrame, roster: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """(tab, rec_id, person_pos, ref_id) of each element that names an entry otherwise than by its full_name."""
+    exact = small(roster.select(F.col("full_name").alias("name")).distinct())
+    variants = mentioned.join(exact, "name", "left_anti")
+    names = cut(variants.select("name").distinct().repartition(variants.sparkSession.sparkContext.defaultParallelism), "names-distinct")
+    weights = gram_weights(names)
+    entries = cut(entries_of(roster, nicknames), "names-entries")
+    parts = cut(parts_table(names), "names-parts")
+    pairs = cut(candidates(parts, entries, weights), "names-candidates")
+    found = cut(checked(parts, pairs, entries, known_words(parts, entries), weights), "names-found")
+    claimed = cut(fewest(found), "names-claimed")
+    linked = average_linkage(claimed, entries, weights)
+    # joined names are looked at one by one only where the whole names nobody
+    whole = linked.filter("part = 0").select("name").distinct()
+    kept = linked.filter("part = 0").select("name", "ref_id").union(linked.filter("part > 0").join(whole, "name", "left_anti").select("name", "ref_id"))
+    return variants.join(kept.distinct(), "name").select("tab", "rec_id", "person_pos", "ref_id").distinct()
 
 
 def found(facts: DataFrame, llm_facts: DataFrame, roster: DataFrame, nicknames: DataFrame) -> DataFrame:
