@@ -1,9 +1,15 @@
 """Problem 10: personal information in free text, found and replaced by typed placeholders.
 
-Weak supervision: for every candidate span, labelers of three sorts (patterns, gazetteers, contexts) vote for, against, or abstain.
-Expectation-maximisation over the counts of all vote patterns of the corpus estimates how reliable each labeler is, without any labelled
-span, and gives each pattern a probability; a logistic classifier trained on these soft labels decides on every span. The corpus is read
-once; what reaches the driver are the vote patterns and their counts (at most 3^labelers per kind), never spans.
+Weak supervision. Broad patterns give candidate spans, many of them false (numbers of invoices, beginnings of firms' names, any words with
+capitals); one place can be a candidate of several kinds. For every candidate, labelers of three sorts (patterns, gazetteers, contexts) vote for, against, or abstain, and
+often disagree. Expectation-maximisation over the counts of all vote patterns of the corpus estimates how reliable each labeler is, without
+any labelled span, and gives each pattern a probability. On these soft labels a logistic classifier is trained from features of the
+spans themselves (votes, shape, length, the words before and after), on a sample of SAMPLE spans of each kind; it decides on every span of the
+corpus, and of overlapping spans the likeliest stays. Words that texts mostly write in lower case, counted over the
+whole corpus, speak against a name.
+
+What reaches the driver: vote patterns and their counts (at most 3^labelers per kind), the sample, words that make up WORD_SHARE of all or more,
+and the gazetteer while it has at most GAZETTEER rows (ValueError beyond: give a smaller one).
 
 Defined results: null and empty texts have no spans and stay as they are; positions count code points from 0, the end being exclusive;
 spans of a row don't overlap; repeated rows are rows of their own (spans are listed once per id and place); texts may have any length; other columns
@@ -13,7 +19,9 @@ are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +31,25 @@ from pyspark.sql import functions as F
 from ..session import cut, spread
 
 KINDS = ("email", "phone", "idnum", "address", "name")
-SCHEMA = "doc_id bigint, kind string, start_pos bigint, end_pos bigint, votes string"
+SPAN = "struct<kind:string,start_pos:bigint,end_pos:bigint,votes:string,traits:array<int>>"
+SCHEMA = f"doc_id bigint, spans array<{SPAN}>"
+SAMPLE = 20_000  # spans of a kind that the classifier is trained on
+TRAITS = 1 << 12
+WORD_SHARE = 2e-6
+GAZETTEER = 2_000_000
+RANK = {"email": 0, "idnum": 1, "phone": 2, "address": 3, "name": 4}
 
 UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶŁĻŃŅŇŐŒŘŚŞŠŤŪŮŰŹŻŽ"
 TITLES = set("mr mrs ms miss dr prof professor sir dame detective inspector sergeant officer judge captain herr frau m mme mlle monsieur madame sr sra srta señor señora don doña hr fr".split())
 LEGAL = set("llc ltd gmbh plc group partners inc s.a s.a. sa ag limited incorporated corp co kg".split())
-NO_NAME = set(
-    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december exhibit invoice container batch order serial version "
-    "according please messages kind yours regards faithfully sincerely copy form the her his she he we it i no on in at this that from to cc subject re memo interview record statement road street lane drive avenue terrace close "
-    "flat apt rue calle avda am page annex list file hill mill q a and le la el der die das mit für nach wir bitte signé firmado gezeichnet atentamente cordialement grüßen freundlichen veuillez póngase eur usd id ssn dni".split()
-)
-
 AT = re.compile(r"@|\s?[(\[]\s?at\s?[)\]]\s?| at (?=[A-Za-z0-9-]+ dot )", re.I)
 SIGN = re.compile("@")
 LOCAL = re.compile(r"(?:[A-Za-z0-9_%+-]+ dot )*[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]\Z", re.I)
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?| dot )[A-Za-z0-9-]+)+", re.I)
 
+MAIL_BEFORE = re.compile(r"(?:mail|contact|write|copy|cc|to|<|\(|\bat|\n)\W{0,4}\Z", re.I)
+DOT = re.compile(r"\.|dot", re.I)
+
 DIGITS = re.compile(r"(?:\+|\(\+?)?\d(?:(?:[ ./-]|\) ?| \(|-\()?\d){4,17}")
 LETTERS_BEFORE = re.compile(r"\b(?!(?:ID|DNI|NIE|NIF|SSN|CPF|NIN|NINO)\b)[A-Z]{1,3} ?\Z")
 LETTER_AFTER = re.compile(r" ?[A-Z](?![A-Za-z0-9])")
@@ -111,43 +122,45 @@ def emails(t: str) -> Iterator[tuple[int, int, str]]:
             continue  # the word before an address that is spelt out
         start, end = low + local.start(), domain.end()
         tld = re.split(r"[\W_]+|dot ", domain.group())[-1]
-        yield start, end, _vote(m.group() == "@") + _vote(m.group() != "@") + _vote(tld.isalpha() and len(tld) > 1, True) + _vote(not local.group().isdigit(), True)
+        before = t[max(0, start - 24) : start]
+        yield start, end, _vote(m.group() == "@") + _vote(tld.isalpha() and 2 <= len(tld) <= 6, True) + _vote(any(c.isalpha() for c in local.group()), True) + _vote(MAIL_BEFORE.search(before) is not None) + _vote(False, words and not DOT.search(domain.group()))
 
 
 def numbers(t: str) -> Iterator[tuple[str, int, int, str]]:
+    """Every longer number, as an identity number where a word of such kind is near, and as a phone number."""
     for m in DIGITS.finditer(t):
         s, e = m.span()
         value = m.group()
         near = t[max(0, s - 28) : s].lower()
+        before = t[max(0, s - 48) : s]
+        bad = NOT_PERSONAL.search(before[-32:]) is not None
         if any(h in near for h in ID_HINTS):
             a = s
             if t[s - 1 : s].isupper() or t[s - 2 : s - 1].isupper():
                 x = LETTERS_BEFORE.search(t, max(0, s - 4), s)
                 a = x.start() if x else s
-            if ID_BEFORE.search(t[max(0, a - 48) : a]):
-                x = LETTER_AFTER.match(t, e)
-                b = x.end() if x else e
-                if b == len(t) or not t[b].isalnum():
-                    v = t[a:b]
-                    yield "idnum", a, b, _vote(True) + _vote(ID_SHAPE.fullmatch(v) is not None) + _vote(True) + _vote(not v.startswith(("+", "(")), True)
-                    continue
-        if len(value) < 8 or value.isdigit():
+            x = LETTER_AFTER.match(t, e)
+            b = x.end() if x else e
+            v = t[a:b]
+            named, form, whole = ID_BEFORE.search(t[max(0, a - 48) : a]) is not None, ID_SHAPE.fullmatch(v) is not None, b == len(t) or not t[b].isalnum()
+            if (named or form) and whole:
+                yield "idnum", a, b, _vote(named, True) + _vote(form) + _vote(not v.startswith(("+", "(")), True) + _vote(False, NOT_PERSONAL.search(t[max(0, a - 32) : a]) is not None) + _vote(False, PHONE_BEFORE.search(before) is not None and not named)
+        if len(value) < 8:
             continue
-        if s and (t[s - 1].isalnum() or t[s - 1] in "$€£.,/-_+@#") and not (t[s - 1] in ".,/" and t[s - 2 : s - 1].isspace()):
+        if s and (t[s - 1].isalnum() or t[s - 1] in "$€£_@#"):
             continue
-        if e < len(t) and (t[e].isalnum() or (t[e] in "-_/" and t[e + 1 : e + 2].isalnum())):
-            continue
-        before = t[max(0, s - 32) : s]
-        bad = NOT_PERSONAL.search(before) is not None
+        joined = (s > 0 and t[s - 1] in ".,/-+" and not (t[s - 1] in ".,/" and t[s - 2 : s - 1].isspace())) or (e < len(t) and (t[e].isalnum() or (t[e] in "-_/" and t[e + 1 : e + 2].isalnum())))
         shape = any(p.match(value) for p in PHONE_SHAPES)
+        if value.isdigit() and not shape:
+            continue
         x = EXTENSION.match(t, e)
-        yield "phone", s, x.end() if x else e, _vote(shape, True) + _vote(PHONE_BEFORE.search(before) is not None) + _vote(x is not None or value[0] in "+(" or "/" in value) + _vote(not bad, bad)
+        yield "phone", s, x.end() if x else e, _vote(shape, True) + _vote(PHONE_BEFORE.search(before[-32:]) is not None) + _vote(x is not None or value[0] in "+(" or "/" in value) + _vote(False, bad) + _vote(False, joined) + _vote(False, ID_BEFORE.search(before) is not None)
 
 
 def addresses(t: str) -> Iterator[tuple[int, int, str]]:
     def one(m: re.Match[str]) -> tuple[int, int, str]:
         before = t[max(0, m.start() - 40) : m.start()]
-        return m.start(), m.end(), _vote(True) + _vote(ADDRESS_BEFORE.search(before) is not None) + _vote(m["rest"] is not None, True) + _vote(re.search(r"\d{5}|\d[A-Z]{2}\Z", m["rest"] or "") is not None)
+        return m.start(), m.end(), _vote(ADDRESS_BEFORE.search(before) is not None) + _vote(m["rest"] is not None, True) + _vote(re.search(r"\d{5}|\d[A-Z]{2}\Z", m["rest"] or "") is not None) + _vote(False, NOT_PERSONAL.search(before) is not None) + _vote(m.end() - m.start() > 14, m.end() - m.start() < 10)
 
     done = -1
     for m in NUMBERED.finditer(t):
@@ -178,8 +191,8 @@ def addresses(t: str) -> Iterator[tuple[int, int, str]]:
 class Names:
     """Names by a gazetteer of given names and surnames, forms, titles and contexts."""
 
-    def __init__(self, given: set[str], last: set[str]) -> None:
-        self.given, self.last = given, last
+    def __init__(self, given: set[str], last: set[str], common: set[str]) -> None:
+        self.given, self.last, self.common = given, last, common - given - last
 
     def known_last(self, w: str) -> bool:
         return any(x in self.last for x in w.lower().split("-"))
@@ -191,7 +204,7 @@ class Names:
             low = [x.strip(".,").lower() for x in w]
             if 2 <= len(w) <= 4 and (any(x in given for x in low) or (any(self.known_last(x) for x in low) and not low[0].isdigit())):
                 skip = len(w[0]) + 1 if low[0] in TITLES else 0
-                yield m.start(1) + skip, m.end(1), _vote(any(x in given for x in low), True) + _vote(any(self.known_last(x) for x in low), True) + "+++"
+                yield m.start(1) + skip, m.end(1), _vote(any(x in given for x in low), True) + _vote(any(self.known_last(x) for x in low), True) + "++" + _vote(True) + _vote(False, any(x in self.common for x in low)) + "0"
         for m in CAPS.finditer(t):
             text = m.group()
             base = m.start()
@@ -200,10 +213,12 @@ class Names:
             low = [p[2].rstrip(".").lower() for p in parts]
             initial = [len(p[2]) == 2 and p[2][1] == "." for p in parts]
             if not any(x in given or x in TITLES or k for x, k in zip(low, initial)):
-                # nothing known: only a strong context makes it a candidate
-                before = t[max(0, base - 30) : base]
-                if n < 2 or low[0] in NO_NAME or not NAME_BEFORE.search(before):
+                if n < 2 or parts[0][0] == 0 or t[parts[0][1] : parts[1][0]] not in (" ", "\n") or min(len(low[0]), len(low[1])) < 3:
                     continue
+                # two words with capitals, neither known: contexts and the words' use in the corpus tell
+                a, b = parts[0][0], parts[1][1] - parts[1][2].endswith(".")
+                yield a, b, "-" + _vote(self.known_last(low[1]), True) + self.around(t, a, b, False, low[:2])
+                continue
             i = 0
             while i < n:
                 s, e, w = parts[i]
@@ -212,7 +227,7 @@ class Names:
                     return t[parts[k][1] : parts[k + 1][0]] if k + 1 < n else ""
 
                 def surname(k: int) -> bool:
-                    return k < n and len(low[k]) > 2 and not initial[k] and low[k] not in NO_NAME and low[k] not in LEGAL and low[k] not in TITLES
+                    return k < n and len(low[k]) > 2 and not initial[k] and low[k] not in LEGAL and low[k] not in TITLES
 
                 end_i = -1
                 start_i = i
@@ -223,7 +238,7 @@ class Names:
                     elif len(low[i]) > 1:
                         i += 1
                         continue
-                if end_i < 0 and surname(i) and low[i] not in given and i + 1 < n and sep(i) in (", ", ",\n") and (low[i + 1] in given or (initial[i + 1] and low[i] in last)) and not (surname(i + 2) and sep(i + 1) in (" ", "\n") and low[i + 2] in last and (initial[i + 1] or not parts[i + 1][2].endswith("."))):
+                if end_i < 0 and surname(i) and low[i] not in given and i + 1 < n and (sep(i) == ", " or (sep(i) == ",\n" and self.known_last(low[i]))) and (low[i + 1] in given or (initial[i + 1] and low[i] in last)) and not (surname(i + 2) and sep(i + 1) in (" ", "\n") and low[i + 2] in last and (initial[i + 1] or not parts[i + 1][2].endswith("."))):
                     end_i = i + 1
                     if i + 2 < n and initial[i + 2] and sep(i + 1) == " ":
                         end_i = i + 2
@@ -243,57 +258,108 @@ class Names:
                 if t[b - 1 : b] == "." and not initial[end_i]:
                     b -= 1
                 names = [low[j] for j in range(start_i, end_i + 1)]
-                before, after = t[max(0, a - 30) : a], t[b : b + 30]
-                if t[b : b + 1] in (" ", "\n") and FIRM_AFTER.match(t, b):  # the beginning of a firm's name
-                    i = end_i + 1
-                    continue
-                votes = (
-                    _vote(any(x in given for x in names), not any(initial[start_i : end_i + 1]) and start_i == i)
-                    + _vote(any(self.known_last(x) for x in names), True)
-                    + _vote(NAME_BEFORE.search(before) is not None or start_i > i, False)
-                    + _vote(NAME_AFTER.match(after) is not None, False)
-                    + _vote(end_i - start_i > 0, False)
-                )
-                yield a, b, votes
+                votes = _vote(any(x in given for x in names), not any(initial[start_i : end_i + 1]) and start_i == i) + _vote(any(self.known_last(x) for x in names), True)
+                yield a, b, votes + self.around(t, a, b, start_i > i, names)
                 i = end_i + 1
 
+    def around(self, t: str, a: int, b: int, titled: bool, names: list[str]) -> str:
+        """Votes of contexts, of the number of words, of how the corpus uses the words, and of the words after."""
+        firm = t[b : b + 1] in (" ", "\n") and FIRM_AFTER.match(t, b) is not None
+        return (
+            _vote(titled or NAME_BEFORE.search(t[max(0, a - 30) : a]) is not None)
+            + _vote(NAME_AFTER.match(t[b : b + 30]) is not None)
+            + _vote(len(names) > 1)
+            + _vote(False, any(x in self.common for x in names))
+            + _vote(False, firm)
+        )
+
+
+def traits(t: str, kind: str, s: int, e: int, votes: str) -> list[int]:
+    """Features of a span, hashed: its votes one by one and in pairs of labelers, shape, length, number of words, the words beside it."""
+    v = t[s:e]
+    before, after = BEFORE.search(t[max(0, s - 24) : s]), AFTER.match(t[e : e + 24])
+    shape = SAME.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in v[:24]))
+    named = [f"v{k}{c}" for k, c in enumerate(votes)]
+    named += [f"p{votes}", f"s{shape}", f"l{min(len(v) // 4, 12)}", f"w{min(v.count(' '), 6)}", f"b{before[1].lower() if before else ''}", f"a{after[1].lower() if after else ''}"]
+    return [crc32(f"{kind}{x}".encode()) % TRAITS for x in named]
 
-def spans_of(t: str, names: Names) -> list[tuple[str, int, int, str]]:
-    """All candidate spans of a text with their votes; earlier kinds take precedence where two overlap."""
+
+BEFORE = re.compile(r"(\w+|[^\w\s])\s*\Z")
+AFTER = re.compile(r"\s*(\w+|[^\w\s])")
+SAME = re.compile(r"(.)\1+")
+
+
+def spans_of(t: str, names: Names) -> list[tuple[str, int, int, str, list[int]]]:
+    """All candidate spans of a text with their votes and traits."""
     out: list[tuple[str, int, int, str]] = []
     if "@" in t or "at" in t or "AT" in t:
         out += [("email", *x) for x in emails(t)]
     out += [("address", *x) for x in addresses(t)]
     out += list(numbers(t))
     out += [("name", *x) for x in names.spans(t)]
-    if len(out) < 2:
-        return out
-    rank = {"email": 0, "idnum": 1, "phone": 2, "address": 3, "name": 4}
-    out.sort(key=lambda x: (x[1], rank[x[0]]))
-    kept: list[tuple[str, int, int, str]] = []
-    for x in out:
+    return [(*x, traits(t, *x)) for x in dict.fromkeys(out)]
+
+
+def apart(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Of spans that overlap, one: the surer one, the longer one among equals."""
+    kept: list[tuple[str, int, int, float]] = []
+    for x in sorted(spans, key=lambda x: (x[1], RANK[x[0]])):
         if kept and x[1] < kept[-1][2]:
-            if rank[x[0]] < rank[kept[-1][0]] or (x[0] == kept[-1][0] and x[2] - x[1] > kept[-1][2] - kept[-1][1]):
+            y = kept[-1]
+            better = RANK[x[0]] < RANK[y[0]] if (x[3] > 0.9) == (y[3] > 0.9) and x[0] != y[0] else x[3] > y[3] + 0.05 or (x[3] > y[3] - 0.05 and x[2] - x[1] > y[2] - y[1])
+            if better:
                 kept[-1] = x
             continue
         kept.append(x)
     return kept
 
 
-def candidates(df: DataFrame, given: set[str], last: set[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kind, start_pos, end_pos, votes) of every candidate span."""
-    shared = df.sparkSession.sparkContext.broadcast((given, last))
-    source = spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and text <> ''"))
+def source_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and text <> ''"))
+
+
+def common_words(texts: DataFrame) -> set[str]:
+    """The words that the corpus writes in lower case three times as often as with a capital inside a sentence."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[str] = Counter()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                count.update(USED.findall(t))
+            if len(count) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+                count.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+
+    table = cut(texts.select("text").mapInArrow(scan, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "personal-words")
+    lower = F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)
+    both = table.groupBy(F.lower("word").alias("word")).agg(F.sum(lower).alias("low"), F.sum(F.col("n") - lower).alias("up"))
+    least = WORD_SHARE * (table.agg(F.sum("n")).first()[0] or 0)
+    return {r["word"] for r in both.filter((F.col("low") > least) & (F.col("low") >= 3 * F.col("up"))).select("word").collect()}
+
+
+USED = re.compile(r"(?<=[^\W\d_] )[^\W\d_]{3,}")  # words inside a sentence
+
+
+def candidates(df: DataFrame, gazetteer_: tuple[set[str], set[str], set[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans) of every text that has a candidate span."""
+    shared = df.sparkSession.sparkContext.broadcast(gazetteer_)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(*shared.value)
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            rows = [(d, *x) for d, t in zip(ids, b.column("text").to_pylist()) for x in spans_of(t, names)]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "kind", "start_pos", "end_pos", "votes"])
+            ids, rows = [], []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                if found_ := spans_of(t, names):
+                    ids.append(d)
+                    rows.append(found_)
+            flat = [x for r in rows for x in r]
+            k, s, e, v, f = zip(*flat) if flat else ([],) * 5
+            struct = pa.StructArray.from_arrays([pa.array(k, pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(v, pa.string()), pa.array(f, pa.list_(pa.int32()))], names=["kind", "start_pos", "end_pos", "votes", "traits"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, struct)], names=["doc_id", "spans"])
 
-    return source.mapInArrow(scan, SCHEMA)
+    return source_of(df, id_col, text_col).mapInArrow(scan, SCHEMA)
 
 
 def reliabilities(patterns: list[tuple[str, int]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -320,48 +386,94 @@ def reliabilities(patterns: list[tuple[str, int]], rounds: int = 60) -> tuple[np
     return post, right
 
 
-def classifier(patterns: list[tuple[str, int]], rounds: int = 400) -> dict[str, float]:
-    """Probability of each pattern by a logistic classifier trained on the soft labels of the EM."""
-    if not patterns:
-        return {}
-    post, _ = reliabilities(patterns)
-    x = np.array([[1.0] + [float(c == s) for c in p for s in "+-"] for p, _ in patterns])
-    weight = np.array([np.sqrt(n) for _, n in patterns])
-    weight /= weight.sum()
-    beta = np.zeros(x.shape[1])
+def labels(patterns: list[tuple[str, int]]) -> dict[str, float]:
+    """Probability of each vote pattern by EM."""
+    return dict(zip([k for k, _ in patterns], map(float, reliabilities(patterns)[0]))) if patterns else {}
+
+
+def trained(ids: np.ndarray, label: np.ndarray, rounds: int = 150, shrink: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic classifier over hashed traits (rows of ids), the last weight being the constant. label: probabilities."""
+    w, seen = np.zeros(TRAITS + 1), np.full(TRAITS + 1, 1e-8)
+    x = np.concatenate([ids, np.full((len(ids), 1), TRAITS)], axis=1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ beta))
-        grad = x.T @ (weight * (p - post)) + 1e-4 * beta
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(beta))
-        step = np.linalg.solve(hess, grad)
-        beta -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-    return {k: float(v) for (k, _), v in zip(patterns, p)}
-
-
-def decided(df: DataFrame, given: set[str], last: set[str]) -> DataFrame:
-    """The candidates that the classifier accepts, with their probability."""
-    spans = cut(candidates(df, given, last), "personal-spans")
-    counts = spans.groupBy("kind", "votes").count().collect()  # at most 3^5 patterns a kind
-    rows = [(k, v, p) for k in KINDS for v, p in classifier(sorted((r["votes"], r["count"]) for r in counts if r["kind"] == k)).items()]
-    table = df.sparkSession.createDataFrame(rows, "kind string, votes string, probability double")
-    return spans.join(F.broadcast(table), ["kind", "votes"]).filter("probability >= 0.5")
-
-
-def gazetteer(roster: DataFrame, nicknames: DataFrame, most: int = 200_000) -> tuple[set[str], set[str]]:
-    """Given names and surnames of people on a roster (a fixed table, of which `most` rows are read) and their short forms."""
-    rows = roster.filter("kind = 'person' and full_name is not null").select("full_name").limit(most).collect()
+        p = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30)))
+        grad = np.bincount(x.ravel(), np.repeat((p - label) / len(x), x.shape[1]), TRAITS + 1) + shrink * w
+        seen += grad * grad
+        w -= 0.5 * grad / np.sqrt(seen)
+    return w
+
+
+Model = dict[str, np.ndarray]
+
+
+def learn(spans: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict[tuple[str, str], float]]:
+    """The classifier of each kind, and the probabilities of the vote patterns that it was trained on. spans: (doc_id, spans)."""
+    flat = spans.select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*")
+    counts = flat.groupBy("kind", "votes").count().collect()  # at most 3^7 patterns a kind
+    soft = {(k, v): p for k in KINDS for v, p in labels(sorted((r["votes"], r["count"]) for r in counts if r["kind"] == k)).items()}
+    model: Model = {}
+    for k in KINDS:
+        # a sample by hash: the same rows whatever the partitions
+        rows = flat.filter(F.col("kind") == k).orderBy(F.xxhash64("doc_id", "start_pos", "end_pos"), "doc_id", "start_pos", "end_pos").limit(sample).select("votes", "traits").collect()
+        if rows:
+            model[k] = trained(np.array([r["traits"] for r in rows], np.int64), np.array([soft[k, r["votes"]] for r in rows]))
+    return model, soft
+
+
+def probabilities(model: Model, spans: list[tuple[str, int, int, str, list[int]]]) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, probability) of the accepted spans of a text."""
+    out = []
+    for kind, s, e, _, f in spans:
+        w = model[kind]
+        p = 1 / (1 + np.exp(-(w[f].sum() + w[-1]))) if kind in model else 0.0
+        if p >= 0.5:
+            out.append((kind, s, e, float(p)))
+    return apart(out)
+
+
+def decided(spans: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, kind, start_pos, end_pos) of the spans that the classifier accepts; spans of a text are decided on where they are, without a shuffle."""
+    shared = spans.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            lists = b.column("spans")
+            flat, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            kinds = flat.field("kind").to_pylist()
+            ids = flat.field("traits")
+            width = ids.value_lengths().to_numpy(zero_copy_only=False)
+            values = ids.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat([KINDS.index(k) for k in kinds], width) if len(kinds) else np.empty(0, int)
+            table = np.stack([m.get(k, np.full(TRAITS + 1, -9.0)) for k in KINDS])
+            score = np.bincount(np.repeat(np.arange(len(kinds)), width), table[owner, values], len(kinds)) + table[[KINDS.index(k) for k in kinds], TRAITS] if len(kinds) else np.empty(0)
+            starts, ends = flat.field("start_pos").to_pylist(), flat.field("end_pos").to_pylist()
+            p = (1 / (1 + np.exp(-np.clip(score, -30, 30)))).tolist()
+            out, at = [], 0
+            for d, n in zip(b.column("doc_id").to_pylist(), sizes.tolist()):
+                out += [(d, k, s, e) for k, s, e, _ in apart([(kinds[i], starts[i], ends[i], p[i]) for i in range(at, at + n) if p[i] >= 0.5])]
+                at += n
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "kind", "start_pos", "end_pos"])
+
+    return spans.mapInArrow(scan, "doc_id bigint, kind string, start_pos bigint, end_pos bigint")
+
+
+def gazetteer(documents: DataFrame, roster: DataFrame, nicknames: DataFrame, text_col: str = "text", most: int = GAZETTEER) -> tuple[set[str], set[str], set[str]]:
+    """Given names (with short forms) and surnames of people on a roster, and the common words of the corpus. All rows count; above `most` rows it is an error."""
+    if roster.limit(most + 1).count() > most or nicknames.limit(most + 1).count() > most:
+        raise ValueError(f"a gazetteer of more than {most} rows")
+    rows = roster.filter("kind = 'person' and full_name is not null").select("full_name").collect()
     parts = [r["full_name"].split() for r in rows]
-    short = nicknames.limit(most).collect()
+    short = nicknames.collect()
     given = {p[0].lower() for p in parts if p} | {x.lower() for r in short for x in (r["formal"], r["short"]) if x}
-    return given, {x for p in parts if len(p) > 1 for x in p[-1].lower().split("-")}
+    return given, {x for p in parts if len(p) > 1 for x in p[-1].lower().split("-")}, common_words(source_of(documents.withColumn("doc_id", F.lit(0)), "doc_id", text_col))
 
 
 def found(documents: DataFrame, roster: DataFrame, nicknames: DataFrame) -> DataFrame:
     """p10_found."""
-    return decided(documents, *gazetteer(roster, nicknames)).select("doc_id", "kind", "start_pos", "end_pos").distinct()
+    spans = cut(candidates(documents, gazetteer(documents, roster, nicknames)), "personal-spans")
+    return decided(spans, learn(spans)[0]).distinct()
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -375,13 +487,16 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redacted(documents: DataFrame, roster: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """(doc_id, text) with placeholders. Only ids and spans are shuffled beside the texts; spans of a document are as many as its text holds."""
-    spans = decided(documents, *gazetteer(roster, nicknames)).groupBy("doc_id").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind")).alias("spans"))
-    both = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
+    """(doc_id, text) with placeholders. Texts are redacted in the scan, with the classifier at hand; nothing is shuffled."""
+    words = gazetteer(documents, roster, nicknames)
+    model, _ = learn(cut(candidates(documents, words), "personal-spans"))
+    shared = documents.sparkSession.sparkContext.broadcast((words, model))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_, m = shared.value
+        names = Names(*words_)
         for b in batches:
-            texts = [t if not t or not s else redact(t, [(x["start_pos"], x["end_pos"], x["kind"]) for x in s]) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
+            texts = [t if not t else redact(t, [(s, e, k) for k, s, e, _ in probabilities(m, spans_of(t, names))]) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return both.mapInArrow(put, "doc_id bigint, text string")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(put, "doc_id bigint, text string")
