@@ -3,7 +3,7 @@
 1. Every part of a typed name (the whole, and each of several joined names) and every usual form of every entry (reordered, with initials, with
    nicknames, without legal form, ...) is a unit vector of character n-grams, weighted by how rare an n-gram is among all names.
 2. A distributed sparse cosine join on n-grams finds all pairs of at least MIN_COSINE. Names are posted under the n-grams of a prefix only: in
-   the order of falling weight, those up to where the rest is shorter than MIN_COSINE / 2. An entry is posted once for each n-gram, with the
+   the order of falling weight, those up to where the rest is shorter than MIN_COSINE / 4. An entry is posted once for each n-gram, with the
    largest weight it has in any form. The sum of products plus the length of the rest is no less than the cosine with any form, so no pair is lost.
 3. Each pair above the threshold is checked word by word (given name, initials, surname, legal form), as different people share surnames. The
    entries with the fewest edits stay.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 SMALL = 200_000  # rows up to which a table is broadcast
-MIN_COSINE = 0.30
+MIN_COSINE = 0.32
 STOP_SHARE = 0.05  # n-grams that are surely (by three standard errors) in a larger share of the names have no weight
 MIN_LINKAGE = 0.03
 MARGIN = 1.15  # by how much the nearest of several clusters must be nearer than the next
@@ -236,7 +236,7 @@ def vector(form: str, weights: dict[str, float]) -> list[tuple[str, float]]:
     return [(g, (1 + log(n)) * w / length) for w, g, n in x if w > 0]
 
 
-def prefix(v: list[tuple[str, float]], least: float = MIN_COSINE / 2) -> tuple[list[tuple[str, float]], float]:
+def prefix(v: list[tuple[str, float]], least: float = MIN_COSINE / 4) -> tuple[list[tuple[str, float]], float]:
     """The n-grams up to where the rest is shorter than least, and the length of the rest."""
     rest = sum(x * x for _, x in v)
     for k, (_, x) in enumerate(v):
@@ -331,7 +331,7 @@ def entry_of(ref_id: int, kind: str, full_name: str, nick: list[str]) -> Entry:
 
 
 PART = "name string, part int, text string, form string"
-POSTING = "form string, gram string, x double, rest double"
+POSTING = "form_no bigint, gram string, x double"
 
 
 def parts_table(names: DataFrame) -> DataFrame:
@@ -357,11 +357,14 @@ def candidates(parts: DataFrame, entries: DataFrame, weights: dict[str, float])
     def of_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for f in b.column("form").to_pylist():
-                p, rest = prefix(vector(f, shared.value))
-                rows += [(f, g, x, rest) for g, x in p]
+            for f, no in _columns(b, "form", "form_no"):
+                rows += [(no, g, x) for g, x in prefix(vector(f, shared.value))[0]]
             yield _batch(rows, POSTING)
 
+    def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(f, no, prefix(vector(f, shared.value))[1]) for f, no in _columns(b, "form", "form_no")], "form string, form_no bigint, rest double")
+
     def of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -373,10 +376,12 @@ def candidates(parts: DataFrame, entries: DataFrame, weights: dict[str, float])
                 rows += [(i, g, x) for g, x in most.items()]
             yield _batch(rows, "ref_id bigint, gram string, y double")
 
-    typed = parts.select("form").distinct().mapInArrow(of_names, POSTING)
+    cores = parts.sparkSession.sparkContext.defaultParallelism
+    numbered = cut(parts.select("form").distinct().repartition(max(cores, parts.rdd.getNumPartitions())).withColumn("form_no", F.monotonically_increasing_id()), "names-forms")
+    typed = numbered.mapInArrow(of_names, POSTING)
     posted = entries.mapInArrow(of_entries, "ref_id bigint, gram string, y double")
-    met = typed.join(small(posted, 5 * SMALL), "gram").groupBy("form", "ref_id").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.first("rest").alias("rest"))
-    return met.filter(F.col("s") + F.col("rest") >= MIN_COSINE).select("form", "ref_id")
+    met = typed.join(small(posted, 5 * SMALL), "gram").groupBy("form_no", "ref_id").agg(F.sum(F.col("x") * F.col("y")).alias("s")).filter(F.col("s") >= 0.75 * MIN_COSINE)
+    return met.join(numbered.mapInArrow(rests, "form string, form_no bigint, rest double"), "form_no").filter(F.col("s") + F.col("rest") >= MIN_COSINE).select("form", "ref_id")
 
 
 def known_words(parts: DataFrame, entries: DataFrame) -> DataFrame:
