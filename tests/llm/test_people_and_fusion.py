@@ -40,3 +40,27 @@ def test_fusion(spark):
     all_ = {(r["group_id"], r["field_name"]): r for r in fusion.survivors(df, sources).collect()}
     assert all_[1, "associated_date"]["value"] == "2020-01-02" and set(k[0] for k in all_) == {1, 5, 7}
     assert fusion.found(df.filter("false"), sources).count() == 0
+
+
+def test_copies_are_no_votes(spark):
+    """Three sources of five share false values in many groups, as two of them copy the third: the majority is wrong, the fusion right."""
+    import random
+
+    rng = random.Random(4)
+    rows, truth = [], {}
+    for g in range(300):
+        right = rng.randint(1, 9)
+        truth[g] = right
+        wrong = rng.choice([x for x in range(1, 10) if x != right])
+        bad = rng.random() < 0.4  # the copied source errs
+        said = {"a": right if rng.random() < 0.95 else wrong % 9 + 1, "b": right if rng.random() < 0.95 else rng.randint(1, 9), "c": wrong if bad else right}
+        said |= {"d": said["c"], "e": said["c"]}
+        rows += [(g, "severity_score", str(v), ord(s), 10 * g + k, 0, 0.5) for k, (s, v) in enumerate(said.items())]
+    claimed = spark.createDataFrame(rows, "group_id long, field_name string, value string, source long, id long, created long, trust double")
+    got = {r["group_id"]: int(r["value"]) for r in fusion.fuse(claimed).collect()}
+    voted = {g: max({v for _, _, v, *_ in rows[5 * g : 5 * g + 5]}, key=lambda v, g=g: sum(r[2] == v for r in rows[5 * g : 5 * g + 5])) for g in truth}
+    majority = sum(int(voted[g]) == t for g, t in truth.items()) / len(truth)
+    fused = sum(got[g] == t for g, t in truth.items()) / len(truth)
+    assert majority < 0.7 and fused > 0.9
+    once = {r["group_id"]: int(r["value"]) for r in fusion.fuse(claimed, 0).collect()}  # without rounds, copies count
+    assert sum(once[g] == t for g, t in truth.items()) / len(truth) < 0.7
