@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -133,7 +134,6 @@ def numbers(t: str) -> Iterator[tuple[str, int, int, str]]:
         value = m.group()
         near = t[max(0, s - 28) : s].lower()
         before = t[max(0, s - 48) : s]
-        bad = NOT_PERSONAL.search(before[-32:]) is not None
         if any(h in near for h in ID_HINTS):
             a = s
             if t[s - 1 : s].isupper() or t[s - 2 : s - 1].isupper():
@@ -153,6 +153,7 @@ def numbers(t: str) -> Iterator[tuple[str, int, int, str]]:
         shape = any(p.match(value) for p in PHONE_SHAPES)
         if value.isdigit() and not shape:
             continue
+        bad = NOT_PERSONAL.search(before[-32:]) is not None
         x = EXTENSION.match(t, e)
         yield "phone", s, x.end() if x else e, _vote(shape, True) + _vote(PHONE_BEFORE.search(before[-32:]) is not None) + _vote(x is not None or value[0] in "+(" or "/" in value) + _vote(False, bad) + _vote(False, joined) + _vote(False, ID_BEFORE.search(before) is not None)
 
@@ -213,9 +214,9 @@ class Names:
             low = [p[2].rstrip(".").lower() for p in parts]
             initial = [len(p[2]) == 2 and p[2][1] == "." for p in parts]
             if not any(x in given or x in TITLES or k for x, k in zip(low, initial)):
-                if n < 2 or parts[0][0] == 0 or t[parts[0][1] : parts[1][0]] not in (" ", "\n") or min(len(low[0]), len(low[1])) < 3:
+                if n < 2 or t[parts[0][1] : parts[1][0]] not in (" ", "\n") or min(len(low[0]), len(low[1])) < 3 or (low[0] in self.common and low[1] in self.common) or not (self.known_last(low[1]) or NAME_BEFORE.search(t, max(0, base - 30), base)):
                     continue
-                # two words with capitals, neither known: contexts and the words' use in the corpus tell
+                # no given name known, but a context or a surname speaks for it; others are for the words' use in the corpus to tell
                 a, b = parts[0][0], parts[1][1] - parts[1][2].endswith(".")
                 yield a, b, "-" + _vote(self.known_last(low[1]), True) + self.around(t, a, b, False, low[:2])
                 continue
@@ -276,12 +277,24 @@ class Names:
 
 def traits(t: str, kind: str, s: int, e: int, votes: str) -> list[int]:
     """Features of a span, hashed: its votes one by one and in pairs of labelers, shape, length, number of words, the words beside it."""
-    v = t[s:e]
-    before, after = BEFORE.search(t[max(0, s - 24) : s]), AFTER.match(t[e : e + 24])
+    before, after = BEFORE.search(t, max(0, s - 24), s), AFTER.match(t, e, e + 24)
+    return [*of_votes(kind, votes), *of_form(kind, t[s:e] if kind != "name" else str(t.count(" ", s, e)) + t[e - 1 : e]), trait(kind, "b", before[1] if before else ""), trait(kind, "a", after[1] if after else "")]
+
+
+@lru_cache(maxsize=100_000)
+def trait(kind: str, sort: str, value: str) -> int:
+    return crc32(f"{kind}{sort}{value.lower()}".encode()) % TRAITS
+
+
+@lru_cache(maxsize=10_000)
+def of_votes(kind: str, votes: str) -> list[int]:
+    return [*(trait(kind, f"v{k}", c) for k, c in enumerate(votes)), trait(kind, "p", votes)]
+
+
+@lru_cache(maxsize=100_000)
+def of_form(kind: str, v: str) -> list[int]:
     shape = SAME.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in v[:24]))
-    named = [f"v{k}{c}" for k, c in enumerate(votes)]
-    named += [f"p{votes}", f"s{shape}", f"l{min(len(v) // 4, 12)}", f"w{min(v.count(' '), 6)}", f"b{before[1].lower() if before else ''}", f"a{after[1].lower() if after else ''}"]
-    return [crc32(f"{kind}{x}".encode()) % TRAITS for x in named]
+    return [trait(kind, "s", shape), trait(kind, "l", str(min(len(v) // 4, 12))), trait(kind, "w", str(min(v.count(" "), 6)))]
 
 
 BEFORE = re.compile(r"(\w+|[^\w\s])\s*\Z")

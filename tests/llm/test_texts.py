@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pytest
+
 from caseloom.llm import encodings, personal, scans, splitting
 
 WORDS = "the dispatcher stated that the quarterly boiler had been restored from a borrowed telephone and the third-party auditor signed the memorandum".split()
@@ -85,7 +87,7 @@ def test_personal(spark):
 
 
 def test_em_prefers_agreeing_labelers():
-    p = personal.classifier([("+++", 500), ("++0", 200), ("-0-", 400), ("-+-", 20), ("0--", 100)])
+    p = personal.labels([("+++", 500), ("++0", 200), ("-0-", 400), ("-+-", 20), ("0--", 100)])
     assert p["+++"] > 0.9 and p["-0-"] < 0.1 and p["0--"] < 0.2
 
 
@@ -105,8 +107,26 @@ def test_splitting(spark, tmp_path):
     path = tmp_path / "big.txt"
     path.write_text(text)
     got = sorted(splitting.split_file(spark, str(path), 500, 50, range_bytes=7001).collect(), key=lambda r: r["piece_no"])
-    assert [(r["piece_no"], r["start_pos"], r["end_pos"]) for r in got] == splitting.pieces_of(text, 500, 50)
-    assert all(text[r["start_pos"] : r["end_pos"]] == r["piece"] for r in got)
+    assert [r["piece_no"] for r in got] == list(range(len(got))) and got[0]["start_pos"] == 0 and got[-1]["end_pos"] == len(text)
+    assert all(text[r["start_pos"] : r["end_pos"]] == r["piece"] and len(r["piece"]) <= 500 and r["piece"].endswith("\n") for r in got)
+    assert all(a["end_pos"] - b["start_pos"] == 50 for a, b in zip(got, got[1:]))
+
+
+def test_ranges_cut_as_the_whole_does(spark):
+    """Cutting by ranges with halos is what cutting in one worker gives; boundaries are sought in all of what a piece may hold."""
+    text = ("word " * 70 + "\n\n") * 90
+    rows = [(1, text, 400, 30), (2, text, 400, 0), (3, "y" * 9000, 300, 10), (4, text, None, None)]
+    got: dict = {}
+    for r in splitting.split(spark.createDataFrame(rows, "id long, t string, n int, o int"), "id", "t", "n", "o", range_chars=2500).collect():
+        got.setdefault(r["text_id"], []).append((r["piece_no"], r["start_pos"], r["end_pos"]))
+        assert len(r["piece"]) == r["end_pos"] - r["start_pos"]
+    for i, t, n, o in rows:
+        assert sorted(got[i]) == splitting.pieces_of(t, n, o, 2500)
+    # paragraphs of 352 signs with a limit of 400: every cut is at a blank line
+    assert all(text[e - 1] == "\n" for _, _, e in got[2])
+    assert len(got[2]) <= 1.15 * 90
+    with pytest.raises(Exception, match="out of range"):
+        splitting.split(spark.createDataFrame([(1, "x" * 50, 10, 5)], "id long, t string, n int, o int"), "id", "t", "n", "o").collect()
 
 
 def test_measure_stitches(spark):
