@@ -50,7 +50,7 @@ def repeated_hashes(facts: DataFrame, more_than: int = 5) -> DataFrame:
     return g.withColumn("score", r6(F.least(F.col("n") / 20.0, F.lit(1.0))))
 
 
-def frequent_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, n) seen more than three times as often as the mean pair."""
+def frequent_pairs(pairs: DataFrame, times: float = 3.0) -> DataFrame:
+    """Pairs (a, b, n) seen more than so many times as often as the mean pair."""
     one = pairs.agg(F.avg("n").alias("mean"))
-    return pairs.crossJoin(F.broadcast(one)).filter(F.col("n") > 3 * F.col("mean")).select("a", "b", "n", r6(F.least(F.col("n") / (5 * F.col("mean")), F.lit(1.0))).alias("score"))
+    return pairs.crossJoin(F.broadcast(one)).filter(F.col("n") > times * F.col("mean")).select("a", "b", "n", r6(F.least(F.col("n") / (5 * F.col("mean")), F.lit(1.0))).alias("score"))

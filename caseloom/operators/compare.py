@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import alive, r6
-from .graph import file_facts
+from ..functions.scalar import alive, parsed_location, r6
+from .graph import file_facts, nearby
 
 
 def shared_entities(facts1: DataFrame, entities1: DataFrame, facts2: DataFrame, entities2: DataFrame) -> DataFrame:
@@ -55,3 +55,14 @@ def matching_facts(facts1: DataFrame, facts2: DataFrame) -> DataFrame:
         return f.filter(alive() & F.col("fact_summary").isNotNull()).groupBy(F.trim(F.regexp_replace(F.lower("fact_summary"), r"\s+", " ")).alias("summary")).agg(F.count(F.lit(1)).alias(n))
 
     return per(facts1, "n1").join(per(facts2, "n2"), "summary")
+
+
+def near_places(entities1: DataFrame, entities2: DataFrame, km: float) -> DataFrame:
+    """Places of the first case (location values with coordinates) within km of places of the second."""
+
+    def places(e: DataFrame, case: int) -> DataFrame:
+        p = e.filter(F.lower("entity_type") == "location").select("value", parsed_location("value").alias("p")).filter("p is not null").select("value", "p.lat", "p.lon").distinct()
+        return p.select(F.struct(F.lit(case).alias("case"), "value").alias("id"), "lat", "lon")
+
+    near = nearby(places(entities1, 1).unionByName(places(entities2, 2)), km).filter("id_a.case = 1 and id_b.case = 2")
+    return near.select(F.col("id_a.value").alias("place1"), F.col("id_b.value").alias("place2"), "km")

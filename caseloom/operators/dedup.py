@@ -1,8 +1,8 @@
-"""Removing repeated facts: exact and by word overlap within one date and category."""
+"""Removing repeated facts: exact and by word overlap within chosen fields."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import jaccard, words
@@ -15,22 +15,29 @@ def exact(elements: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     return elements.join(first.select(id_col), id_col, "left_semi")
 
 
-def groups(facts: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, leader): in the order of ids, a fact joins the first earlier leader of its date and category that is alike by the threshold, else it leads.
+def groups(facts: DataFrame, threshold: float = 0.85, match: tuple[str, ...] = ("associated_date", "category"), text: str = "fact_summary") -> DataFrame:
+    """(id, leader): in the order of ids, a fact joins the first earlier leader that has the same `match` fields and is alike by the threshold, else it leads.
 
-    Equal word sets are one set throughout. Pairs come from a prefix join: sets alike by t share one of their first n - ceil(t n) + 1 words
-    in any fixed order, here long words and numbers first. Leaders are then found in rounds; facts without words lead themselves.
+    Equal word sets are one set throughout (by two 64-bit hashes together). Pairs come from a prefix join: sets alike by t share one of their first n - ceil(t n) + 1 words
+    in any fixed order, here the rarest of the corpus first. Only ids, sizes and keys are shuffled; word sets are compared once for each different pair.
+    Leaders are then found in rounds; facts without words lead themselves. Jobs run when this is called.
     """
-    base = facts.select("id", F.coalesce("associated_date", F.lit("\x00")).alias("d"), F.coalesce("category", F.lit("\x00")).alias("k"), words("fact_summary").alias("w"))
-    order = F.transform(F.array_sort(F.transform("w", lambda x: F.struct((-F.length(x)).alias("l"), F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"])
-    sets = base.withColumn("w", order).withColumn("block", F.xxhash64("d", "k")).withColumn("same", F.xxhash64("d", "k", "w"))
-    reps = cut(sets.groupBy("same").agg(F.min(F.struct("id", "block", "w")).alias("r")).select("same", "r.*"), "dedup-sets")
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in match] or [F.lit("")]
+    base = facts.select("id", F.xxhash64(F.lit(1), *fields).alias("b1"), F.xxhash64(F.lit(2), *fields).alias("b2"), F.array_sort(words(text)).alias("w"))
+    sets = base.withColumn("same", F.struct(F.xxhash64("b1", "w").alias("x"), F.xxhash64("b2", "w", F.lit(3)).alias("y")))
+    reps = cut(sets.groupBy("same").agg(F.min(F.struct("id", "b1", "b2", "w")).alias("r")).select("same", "r.*"), "dedup-sets")
     n = F.size("w")
-    prefix = reps.filter(n > 0).select("id", "block", "w", F.explode(F.slice("w", 1, F.greatest(n - F.ceil(n * threshold).cast("int") + 1, F.lit(1)))).alias("key"))
+    spelt = reps.filter(n > 0).select("id", "b1", "b2", n.alias("n"), F.explode("w").alias("word"))
+    often = spelt.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "word"))  # the words of one set
+    prefix = spelt.join(often, "word").withColumn("place", place).filter(F.col("place") <= F.greatest(F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1, F.lit(1)))
+    prefix = prefix.select("id", "n", F.xxhash64("b1", "b2", "word").alias("key"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    sized = (F.size("a.w") * threshold <= F.size("b.w")) & (F.size("b.w") * threshold <= F.size("a.w"))
-    near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & sized & (jaccard(F.col("a.w"), F.col("b.w")) >= threshold))
-    edges = cut(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "dedup-edges")
+    sized = (F.col("a.n") * threshold <= F.col("b.n")) & (F.col("b.n") * threshold <= F.col("a.n"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    wa, wb = (reps.select(F.col("id").alias(c), F.struct("b1", "b2").alias(f"k{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
+    near = met.join(wa, "a").join(wb, "b").filter((F.col("ka") == F.col("kb")) & (jaccard(F.col("wa"), F.col("wb")) >= threshold))
+    edges = cut(near.select("a", "b"), "dedup-edges")
     open_ = edges
     led = None
     while True:
@@ -54,7 +61,10 @@ def groups(facts: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def merged(facts: DataFrame, grouped: DataFrame, strategy: str = "highest_confidence") -> DataFrame:
-    """One fact per leader: of highest_confidence, most_severe (ties: the first), or merge_all (different summaries joined, gaps filled from the first that has a value)."""
+    """One fact per leader: of highest_confidence, most_severe (ties: the first), or merge_all (different summaries joined, gaps filled from the first that has a value).
+
+    merge_all holds the different summaries of one leader in a row: they are alike by the threshold, and copies count once.
+    """
     f = facts.join(grouped, "id")
     if strategy == "merge_all":
         def first(c: str):

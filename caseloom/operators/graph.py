@@ -6,6 +6,7 @@ only opens the files and entities that can reach it: a file of very many entitie
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,20 +161,37 @@ def betweenness(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     return table.join(sums, "k").select("node", r6(F.col("x") * scale).alias("betweenness"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): label propagation; a node takes the commonest label about it, the least of several, until nothing changes or the rounds end."""
+def modularity(edges: DataFrame, labelled: DataFrame) -> DataFrame:
+    """One row: the modularity of (node, community) over weighted edges (a, b, n): the share of weight inside communities less what chance gives."""
+    a, b = labelled.select(F.col("node").alias("a"), F.col("community").alias("ca")), labelled.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    e = edges.join(a, "a").join(b, "b")
+    inside = e.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("n")).otherwise(0)).alias("inside"), F.sum("n").alias("total"))
+    ends = e.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "n"), F.struct(F.col("cb").alias("c"), "n"))).alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("d"))
+    squares = ends.agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("s"))
+    return inside.crossJoin(squares).select(r6(F.try_divide("inside", "total") - F.try_divide(F.col("s"), 4.0 * F.col("total") * F.col("total"))).alias("modularity"))  # single rows
+
+
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, community): label propagation; a node takes the commonest label about it, the least of several, until nothing changes.
+
+    Labels that swap for ever are settled by letting only half of the nodes (by hash and round) change in a round. RuntimeError if that doesn't end in `rounds` rounds.
+    """
     both = edges.select("a", "b", F.col("n").alias("w")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("w")))
     both = cut(both.groupBy("a", "b").agg(F.sum("w").alias("w")), "communities-edges")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    for k in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
         own = labels.select(F.col("node").alias("a"), "label", F.lit(0.5).alias("w"))
         best = votes.select("a", "label", F.col("w").cast("double").alias("w")).unionByName(own).groupBy("a", "label").agg(F.sum("w").alias("w")).groupBy("a").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
-        new = cut(best.withColumnRenamed("a", "node"), "communities")
-        changed = new.alias("n").join(labels.alias("o"), "node").filter(F.col("n.label") != F.col("o.label")).limit(1).count()
+        turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
+        taken = best.withColumnRenamed("a", "node").withColumnRenamed("label", "to").join(labels, "node")
+        wanted = taken.filter(F.col("to") != F.col("label")).limit(1).count()
+        new = cut(taken.select("node", F.when(turn | F.lit(k < 3), F.col("to")).otherwise(F.col("label")).alias("label")), "communities")
         labels = new
-        if not changed:
+        if not wanted:
             break
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     return labels.select("node", F.col("label").alias("community"))
 
 
@@ -226,14 +244,23 @@ def locations(facts: DataFrame, entities: DataFrame, min_confidence: float = 0.0
 
 
 def nearby(places: DataFrame, km: float) -> DataFrame:
-    """Pairs of places (id, lat, lon) within km of one another: joined by cells of a grid and their neighbours, then by great circle."""
-    size = max(km / 111.0, 0.001)
-    cell = places.filter("lat is not null").select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("y"), F.floor(F.col("lon") * F.cos(F.radians(F.floor(F.col("lat") / size) * size)) / size).alias("x"))
-    # a cell's width changes with its row: all cells that a place's circle may touch are listed
-    around = cell.select("id", "lat", "lon", F.explode(F.array([F.lit(k) for k in (-1, 0, 1)])).alias("dy")).withColumn("y", F.floor(F.col("lat") / size) + F.col("dy"))
-    scale = F.cos(F.radians(F.col("y") * size))
-    around = around.withColumn("x0", F.floor(F.col("lon") * scale / size)).select("id", "lat", "lon", "y", F.explode(F.array(F.col("x0") - 1, F.col("x0"), F.col("x0") + 1)).alias("x"))
-    a, b = around.alias("a"), cell.alias("b")
+    """Pairs of places (id, lat, lon) within km of one another.
+
+    Places are unit vectors, joined by the cells of a grid as wide as the chord of km and the 26 cells around each; unlike degrees, that grid has
+    neither poles nor a date line. Great circles decide.
+    """
+    chord = 2 * math.sin(min(km / 6371.0088, math.pi) / 2)
+    size = max(chord * (1 + 1e-9), 1e-7)
+    lat, lon = F.radians("lat"), F.radians("lon")
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    at = places.filter("lat is not null and lon is not null").select("id", "lat", "lon", *[F.floor(v / size).alias(k) for k, v in axes.items()])
+    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    around = at
+    for k in axes:
+        around = around.withColumn("d", F.explode(steps)).withColumn(k, F.col(k) + F.col("d")).drop("d")
+    a, b = around.alias("a"), at.alias("b")
     h = F.pow(F.sin(F.radians((F.col("a.lat") - F.col("b.lat")) / 2)), 2) + F.cos(F.radians("a.lat")) * F.cos(F.radians("b.lat")) * F.pow(F.sin(F.radians((F.col("a.lon") - F.col("b.lon")) / 2)), 2)
     d = 2 * 6371.0088 * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
-    return a.join(b, (F.col("a.y") == F.col("b.y")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id"))).withColumn("km", d).filter(F.col("km") <= km).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round("km", 3).alias("km")).distinct()
+    same = (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.z") == F.col("b.z"))
+    return a.join(b, same & (F.col("a.id") < F.col("b.id"))).withColumn("km", d).filter(F.col("km") <= km).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round("km", 3).alias("km"))
+

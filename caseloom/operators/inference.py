@@ -9,10 +9,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import r6
+
 MAX_CHARS, OVERLAP = 2000, 150
+CONTEXT = 20  # summaries of earlier passes that a prompt may hold
 Generate = Callable[[str, int], str]
 
 FACT_SCHEMA = "array<struct<source:string, source_quote:string, date:string, location:string, people:array<string>, summary:string, category:string, identified_crime:string, severity:int, confidence:float>>"
@@ -34,7 +37,7 @@ def chunks(texts: DataFrame, id_col: str, name_col: str, text_col: str, max_char
 def model_family(name: Column) -> Column:
     """The prompt family of a model file."""
     low = F.lower(name)
-    return F.when(low.contains("gemma"), "Gemma3").when(low.contains("mistral"), "Mistral").when(low.contains("llama-2") | low.contains("llama2"), "Llama2").otherwise("ChatML")
+    return F.when(low.contains("gemma-3") | low.contains("gemma3"), "Gemma3").when(low.contains("mistral"), "Mistral").when(low.contains("llama-2") | low.contains("llama2"), "Llama2").otherwise("ChatML")
 
 
 SYSTEM = "Extract the facts of the text as a JSON array of objects with the fields source_quote, date, location, people, summary, category, identified_crime, severity (1 to 10) and confidence (0 to 1)."
@@ -161,10 +164,33 @@ PIPELINES = {
 }
 
 
+def sampled(texts: DataFrame, text_col: str, size: int, seed: int = 0) -> DataFrame:
+    """texts with each text above `size` bytes replaced by a sample of its paragraphs."""
+
+    @F.pandas_udf("string")
+    def draw(s):  # noqa: ANN001, ANN202
+        return s.map(lambda t: t if t is None else sample_paragraphs(t, size, seed))
+
+    return texts.withColumn(text_col, F.when(F.octet_length(text_col) > size, draw(text_col)).otherwise(F.col(text_col)))
+
+
+def write_back(facts: DataFrame, texts: DataFrame, registry: DataFrame, id_col: str, key: str = "fingerprint") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results of analyse() to be stored: facts with the file they came from, one row with counts, and the registry with the analysed files marked as processed."""
+    own = texts.select(F.col(id_col).alias("id"), key).distinct()
+    stored = facts.join(own, "id")
+    counts = texts.agg(F.countDistinct(id_col).alias("texts")).crossJoin(facts.agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("id").alias("texts_with_facts"), r6(F.avg("severity")).alias("mean_severity")))  # of single rows
+    done = registry.join(own.select(key).distinct().withColumn("__done", F.lit(True)), key, "left").withColumn("processed", F.coalesce("processed", F.lit(False)) | F.coalesce("__done", F.lit(False)))
+    return stored, counts, done.select(*registry.columns)
+
+
 def analyse(texts: DataFrame, id_col: str, name_col: str, text_col: str, model: Generate, family: str = "ChatML", system: str = SYSTEM) -> DataFrame:
     """Facts of texts: chunks, prompts, answers, facts, without exact repetitions of source and summary in one text."""
     c = chunks(texts, id_col, name_col, text_col).withColumn("prompt", prompt(F.lit(family), F.col("label"), F.col("chunk"), system))
-    facts = parse_facts(generate(c, model))
+    return first_of_each(parse_facts(generate(c, model)))
+
+
+def first_of_each(facts: DataFrame) -> DataFrame:
+    """Facts without exact repetitions of source and summary in one text."""
     place = F.struct("chunk_no", "pos")
     cols = [x for x in facts.columns if x not in ("id", "source", "summary")]
     return facts.groupBy("id", "source", "summary").agg(F.min_by(F.struct(*cols), place).alias("r")).select("id", "source", "summary", "r.*")
@@ -174,7 +200,17 @@ def run_pipeline(texts: DataFrame, id_col: str, name_col: str, text_col: str, pi
     """All passes of a pipeline over the same texts, with the name of the pass."""
     out = None
     for p in pipeline.passes:
-        one = analyse(texts, id_col, name_col, text_col, model, family, p.system).withColumns({"pipeline_id": F.lit(pipeline.name), "pass_name": F.lit(p.name)})
+        source = sampled(texts, text_col, p.sample_bytes)
+        if "{{CONTEXT}}" in p.system and out is not None:
+            # the summaries found so far in a text, the first CONTEXT of them
+            rank = F.row_number().over(Window.partitionBy("id").orderBy("chunk_no", "pos", "pass_name"))
+            before = out.withColumn("r", rank).filter(F.col("r") <= CONTEXT).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "summary"))), lambda x: x["summary"]), "\n").alias("context"))
+            c = chunks(source, id_col, name_col, text_col).join(before, "id", "left")
+            c = c.withColumn("prompt", F.replace(prompt(F.lit(family), F.col("label"), F.col("chunk"), p.system), F.lit("{{CONTEXT}}"), F.coalesce("context", F.lit(""))))
+            one = first_of_each(parse_facts(generate(c, model)))
+        else:
+            one = analyse(source, id_col, name_col, text_col, model, family, p.system.replace("{{CONTEXT}}", ""))
+        one = one.withColumns({"pipeline_id": F.lit(pipeline.name), "pass_name": F.lit(p.name)})
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("a pipeline has a pass at least")

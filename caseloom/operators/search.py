@@ -1,11 +1,13 @@
 """Full-text search with AND, OR, NOT, phrases, prefixes and brackets, ranked by BM25 over several columns.
 
 Neighbouring terms are joined by AND; NOT needs something to its left. A score is negative, better ones being lower. Statistics (documents,
-mean length, frequency of each queried term) come from one pass over all rows.
+mean length, frequency of each queried term) and hits come from a stored inverted index of which a search reads the terms it asks for;
+the texts themselves are read for the rows that are shown.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import alive, r6, tokens
+from ..session import cut
 
 K1, B = 1.2, 0.75
 
@@ -101,21 +104,6 @@ def leaves(node: Node) -> list[Node]:
     return [node] if not node.parts else [x for p in node.parts for x in leaves(p)]
 
 
-def hits(leaf: Node, columns: list[str]) -> Column:
-    """How often a leaf occurs in token columns; a phrase doesn't run over a column's end."""
-    def one(c: str) -> Column:
-        if leaf.kind == "term":
-            return F.size(c) - F.size(F.array_remove(c, leaf.words[0]))
-        if leaf.kind == "prefix":
-            return F.size(F.filter(c, lambda t: t.startswith(leaf.words[-1])))
-        k = len(leaf.words)
-        phrase = F.array(*[F.lit(w) for w in leaf.words])
-        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - k + 1, F.lit(1)))
-        return F.when(F.size(c) >= k, F.size(F.filter(starts, lambda i: F.slice(c, i, F.lit(k)) == phrase))).otherwise(0)
-
-    return sum((one(c) for c in columns), F.lit(0))
-
-
 def matches(node: Node, names: dict[int, str]) -> Column:
     if not node.parts:
         return F.col(names[id(node)]) > 0
@@ -123,25 +111,91 @@ def matches(node: Node, names: dict[int, str]) -> Column:
     return left & right if node.kind == "and" else left | right if node.kind == "or" else left & ~right
 
 
-def scored(df: DataFrame, columns: list[str], query: str) -> DataFrame:
-    """Rows of df that match, with rank (BM25, lower is better)."""
+@dataclass
+class Index:
+    """A stored inverted index: postings (column, term, doc, tf, positions, d) in the order of terms, and one row of totals (n, avg)."""
+
+    postings: DataFrame
+    totals: DataFrame
+
+
+def placed(tokens_: str | Column, column: str) -> Column:
+    """The tokens of a column with its name and their positions."""
+    return F.transform(tokens_, lambda t, p: F.struct(F.lit(column).alias("column"), t.alias("term"), p.alias("pos")))
+
+
+def shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda v: v - by)
+
+
+def index(df: DataFrame, id_col: str, columns: list[str], name: str = "index") -> Index:
+    """Writes the index of df's columns to the shared folder. Files hold ranges of terms, so a search opens those of its terms only; a hot term is split by document."""
+    spark = df.sparkSession
+    key = hashlib.sha256(repr((sorted(df.inputFiles()), df._jdf.queryExecution().analyzed().canonicalized().toString(), id_col, columns)).encode()).hexdigest()[:16]
+    known = _indexes.get((spark.sparkContext.applicationId, key))
+    if known is None:
+        toks = df.select(F.col(id_col).alias("doc"), *[tokens(c).alias(f"t{k}") for k, c in enumerate(columns)])
+        d = sum((F.size(f"t{k}") for k in range(len(columns))), F.lit(0)).alias("d")
+        words = F.concat(*[placed(f"t{k}", c) for k, c in enumerate(columns)])
+        sized = toks.select("doc", d, words.alias("w"))
+        per = sized.select("doc", "d", F.explode("w").alias("w")).groupBy("w.column", "w.term", "doc", "d").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("w.pos")).alias("positions"))
+        ordered = per.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
+        known = _indexes[spark.sparkContext.applicationId, key] = Index(cut(ordered, f"{name}-postings"), cut(sized.agg(F.count(F.lit(1)).alias("__n"), F.avg("d").alias("__avg")), f"{name}-totals"))
+    return known
+
+
+#: Indexes of this session by their source: searches of one table share an index.
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def ranked(idx: Index, query: str) -> DataFrame:
+    """(doc, rank) of the documents that match (BM25, lower is better), from the postings of the query's terms alone."""
     tree = parse(query)
     if tree is None:
-        return df.filter(F.lit(False)).withColumn("rank", F.lit(0.0))
+        return idx.postings.select("doc", F.lit(0.0).alias("rank")).filter(F.lit(False))
     parts = leaves(tree)
     names = {id(p): f"__f{k}" for k, p in enumerate(parts)}
-    toks = [f"__t{k}" for k in range(len(columns))]
-    counted = df.withColumns({t: tokens(c) for t, c in zip(toks, columns)})
-    counted = counted.withColumns({names[id(p)]: hits(p, toks) for p in parts} | {"__d": sum((F.size(t) for t in toks), F.lit(0))}).drop(*toks)
-    stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__d").alias("__avg"), *[F.count_if(F.col(names[id(p)]) > 0).alias(f"__n{k}") for k, p in enumerate(parts)])
-    both = counted.filter(matches(tree, names)).crossJoin(F.broadcast(stats))  # with one row
+    term = F.col("term")
+    exact = sorted({w for p in parts if p.kind != "prefix" for w in p.words})
+    wanted = term.isin(exact) if exact else F.lit(False)
+    for p in parts:
+        if p.kind == "prefix":
+            wanted = wanted | term.startswith(p.words[-1])
+    read = idx.postings.filter(wanted)
+    # first by column, as a phrase doesn't run over a column's end
+    aggs = []
+    for p in parts:
+        if p.kind == "phrase":
+            aggs += [F.max(F.when(term == w, F.col("positions"))).alias(f"{names[id(p)]}_{k}") for k, w in enumerate(p.words)]
+        else:
+            aggs.append(F.sum(F.when(term == p.words[0] if p.kind == "term" else term.startswith(p.words[-1]), F.col("tf")).otherwise(0)).alias(names[id(p)]))
+    by_column = read.groupBy("doc", "d", "column").agg(*aggs)
+    for p in parts:
+        if p.kind == "phrase":
+            at = [F.coalesce(F.col(f"{names[id(p)]}_{k}"), F.array().cast("array<int>")) for k in range(len(p.words))]
+            starts = at[0]
+            for k, x in enumerate(at[1:], 1):
+                starts = F.array_intersect(starts, shifted(x, k))
+            by_column = by_column.withColumn(names[id(p)], F.size(starts))
+    docs = by_column.groupBy("doc", "d").agg(*[F.sum(n).alias(n) for n in names.values()])
+    stats = docs.agg(*[F.count_if(F.col(names[id(p)]) > 0).alias(f"__n{k}") for k, p in enumerate(parts)])
+    both = docs.filter(matches(tree, names)).crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(idx.totals))  # with single rows
     score = F.lit(0.0)
     for k, p in enumerate(parts):
         f, n = F.col(names[id(p)]).cast("double"), F.col(f"__n{k}")
         idf = F.log((F.col("__n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score + idf * F.try_divide(f * (K1 + 1), f + K1 * (1 - B + B * F.try_divide(F.col("__d"), F.col("__avg"))))
-    return both.withColumn("rank", -score).drop("__d", "__n", "__avg", *names.values(), *[f"__n{k}" for k in range(len(parts))])
+        score = score + idf * F.try_divide(f * (K1 + 1), f + K1 * (1 - B + B * F.try_divide(F.col("d"), F.col("__avg"))))
+    return both.select("doc", (-score).alias("rank"))
+
+
+def best(table: DataFrame, hit: DataFrame, keep: list[str | Column], filters: list[Column], limit: int) -> DataFrame:
+    """The best rows of table: ranked and filtered on narrow columns first; wide columns are read for those that are shown."""
+    narrow = table
+    for f in filters:
+        narrow = narrow.filter(f)
+    top = narrow.select("id").join(hit, F.col("id") == F.col("doc")).select("id", r6(F.col("rank")).alias("rank")).orderBy("rank", "id").limit(limit)
+    return table.join(F.broadcast(top), "id").select(*keep, "rank").orderBy("rank", "id")
 
 
 FACT_COLUMNS = ["fact_summary", "source_quote", "category"]
@@ -150,32 +204,34 @@ ENTITY_COLUMNS = ["value", "normalized_value", "entity_type"]
 
 def facts(table: DataFrame, query: str, limit: int = 100, categories: list[str] | None = None, min_severity: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """The best facts for a query. Statistics cover all facts that aren't deleted; filters apply to the hits."""
-    hit = scored(table.filter(alive()), FACT_COLUMNS, query)
+    own = table.filter(alive())
+    filters = []
     if categories:
-        hit = hit.filter(F.col("category").isin(categories))
+        filters.append(F.col("category").isin(categories))
     if min_severity is not None:
-        hit = hit.filter(F.col("severity_score") >= min_severity)
+        filters.append(F.col("severity_score") >= min_severity)
     if start:
-        hit = hit.filter(F.col("associated_date") >= start)
+        filters.append(F.col("associated_date") >= start)
     if end:
-        hit = hit.filter(F.col("associated_date") <= end)
-    return hit.select("id", "filename", "fact_summary", "category", "severity_score", r6(F.col("rank")).alias("rank")).orderBy("rank", "id").limit(limit)
+        filters.append(F.col("associated_date") <= end)
+    return best(own, ranked(index(own, "id", FACT_COLUMNS, "facts"), query), ["id", "filename", "fact_summary", "category", "severity_score"], filters, limit)
 
 
 def entities(table: DataFrame, query: str, limit: int = 100, types: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
-    hit = scored(table, ENTITY_COLUMNS, query)
+    filters = []
     if types:
-        hit = hit.filter(F.lower("entity_type").isin([t.lower() for t in types]))
+        filters.append(F.lower("entity_type").isin([t.lower() for t in types]))
     if min_confidence is not None:
-        hit = hit.filter(F.col("confidence") >= min_confidence)
-    return hit.select("id", "value", "normalized_value", F.lower("entity_type").alias("entity_type"), "confidence", r6(F.col("rank")).alias("rank")).orderBy("rank", "id").limit(limit)
+        filters.append(F.col("confidence") >= min_confidence)
+    return best(table, ranked(index(table, "id", ENTITY_COLUMNS, "entities"), query), ["id", "value", "normalized_value", F.lower("entity_type").alias("entity_type"), "confidence"], filters, limit)
 
 
 def entity_facts(table: DataFrame, fact_table: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """The best entities with the name of a file they stand in."""
+    """The best entities of files with facts, with the name of such a file."""
     names = fact_table.filter(alive()).groupBy("fingerprint").agg(F.min("filename").alias("filename"))
-    best = scored(table, ENTITY_COLUMNS, query).join(names, "fingerprint")
-    return best.select("id", "value", "filename", r6(F.col("rank")).alias("rank")).orderBy("rank", "id").limit(limit)
+    hit = ranked(index(table, "id", ENTITY_COLUMNS, "entities"), query)
+    top = table.select("id", "value", "fingerprint").join(hit, F.col("id") == F.col("doc")).join(names, "fingerprint")
+    return top.select("id", "value", "filename", r6(F.col("rank")).alias("rank")).orderBy("rank", "id").limit(limit)
 
 
 def combined(fact_table: DataFrame, entity_table: DataFrame, query: str, limit: int = 50) -> DataFrame:
@@ -190,8 +246,5 @@ def postings(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
     Positions count from 0 in each column; rows of one id count together, with the positions of all of them.
     """
-    def words(c: str) -> Column:
-        return F.transform(tokens(c), lambda t, k: F.struct(F.lit(c).alias("column"), t.alias("term"), k.alias("pos")))
-
-    at = df.select(F.col(id_col).alias("doc"), F.explode(F.concat(*[words(c) for c in columns])).alias("w")).select("w.column", "w.term", "doc", "w.pos")
+    at = df.select(F.col(id_col).alias("doc"), F.explode(F.concat(*[placed(tokens(c), c) for c in columns])).alias("w")).select("w.column", "w.term", "doc", "w.pos")
     return at.groupBy("column", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))

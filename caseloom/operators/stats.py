@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import alive, r6, to_day
@@ -59,10 +59,13 @@ def entity_type_distribution(entities: DataFrame) -> DataFrame:
     return entities.groupBy(F.lower("entity_type").alias("entity_type")).agg(F.countDistinct("value").alias("different_values"), F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "entity_type")
 
 
-def overall_statistics(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row; means over no rows are null."""
+def overall_statistics(facts: DataFrame, entities: DataFrame, chains: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """One row; means over no rows are null. With chains and links, their counts too."""
     f = facts.filter(alive()).agg(F.count(F.lit(1)).alias("facts"), r6(F.avg("severity_score")).alias("mean_severity"), r6(F.avg("confidence")).alias("mean_confidence"), r6(F.avg("quality_score")).alias("mean_quality"))
-    return f.crossJoin(entities.agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("value").alias("different_entities")))
+    out = f.crossJoin(entities.agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("value").alias("different_entities")))  # of single rows
+    for name, t in (("chains", chains), ("links", links)):
+        out = out if t is None else out.crossJoin(t.agg(F.count(F.lit(1)).alias(name)))
+    return out
 
 
 def date_distribution(facts: DataFrame, limit: int = 24) -> DataFrame:
@@ -85,10 +88,16 @@ def quality_rollup(facts: DataFrame) -> DataFrame:
     )
 
 
-def by_month(facts: DataFrame) -> DataFrame:
-    """Facts by the first seven signs of their date, latest first, with the ids of the ten most severe."""
+def by_month(facts: DataFrame, most: int = 10) -> DataFrame:
+    """Facts by the first seven signs of their date, latest first, with the ids of the `most` most severe (joined by commas, the most severe first)."""
     dated = facts.filter(alive() & F.col("associated_date").isNotNull()).select(F.substring("associated_date", 1, 7).alias("month"), "id", F.coalesce("severity_score", F.lit(0)).alias("s"))
-    return dated.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("top_severity"), F.min("id").alias("first_id")).orderBy(F.desc("month"))
+    per = dated.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("top_severity"), F.min("id").alias("first_id"))
+    # ranked within parts of each month first, so a hot month isn't sorted in one task
+    part = Window.partitionBy("month", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.desc("s"), "id")
+    best = dated.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= most)
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("s"), "id"))).filter(F.col("r") <= most)
+    ids = best.groupBy("month").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"].cast("string")), ",").alias("top_ids"))
+    return per.join(ids, "month").orderBy(F.desc("month"))
 
 
 def facets(facts: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def clusters(facts: DataFrame, days: int) -> DataFrame:
                 starts.append(first)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.date32())], names=[*b.schema.names, "cluster_start"])
 
-    ordered = daily.coalesce(1).sortWithinPartitions("day")
+    ordered = daily.repartition(1).sortWithinPartitions("day")  # after the aggregate: a row for each day
     schema = "day date, n bigint, top_severity int, first_id bigint, cluster_start date"
     return ordered.mapInArrow(fold, schema).groupBy("cluster_start").agg(F.max("day").alias("cluster_end"), F.sum("n").alias("n"), F.max("top_severity").alias("top_severity"), F.count(F.lit(1)).alias("days"))
 
@@ -77,3 +77,10 @@ def date_consistency(facts: DataFrame) -> DataFrame:
     """By file: the share of dated facts that lie before they were recorded, and how many lie after (backdating or mistakes)."""
     dated = facts.filter(alive()).select("fingerprint", to_day("associated_date").alias("day"), F.col("created_at").cast("date").alias("made")).filter("day is not null and made is not null")
     return dated.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("dated"), F.count_if(F.col("day") > F.col("made")).alias("after_record"), r6(F.avg(F.when(F.col("day") <= F.col("made"), 1.0).otherwise(0.0))).alias("consistency"))
+
+
+def backdating(facts: DataFrame, days: int = 1) -> DataFrame:
+    """Facts whose date lies after the day they were recorded, with by how many days, whether that is more than `days` (flagged), and how sure that is (a year and more: 1)."""
+    dated = facts.filter(alive()).select("id", "fingerprint", to_day("associated_date").alias("day"), F.col("created_at").cast("date").alias("made")).filter("day is not null and made is not null")
+    ahead = F.date_diff("day", "made")
+    return dated.withColumn("days_ahead", ahead).filter("days_ahead > 0").select("id", "fingerprint", "days_ahead", (F.col("days_ahead") > days).alias("flagged"), r6(F.least(F.col("days_ahead") / 365.0, F.lit(1.0))).alias("confidence"))

@@ -30,7 +30,12 @@ def corroboration(facts: DataFrame, min_sources: int = 2) -> DataFrame:
 
 
 def quote_checks(facts: DataFrame, text_cache: DataFrame) -> DataFrame:
-    """Facts with a quote: does the file's text hold it? A file extracted more than once counts if any of its texts does."""
+    """Facts with a quote: does the file's text hold it (found), and does the quote hold the summary (holds_summary)? A file extracted more than once counts if any of its texts does.
+
+    Each different quote of a file is looked up once; rows of facts never carry a text.
+    """
     texts = text_cache.filter("extracted_text is not null").select("fingerprint", "extracted_text")
-    quoted = facts.filter(alive() & (F.coalesce("source_quote", F.lit("")) != "")).select("id", "fingerprint", "source_quote")
-    return quoted.join(texts, "fingerprint").groupBy("id").agg(F.max(F.col("extracted_text").contains(F.col("source_quote"))).alias("found"))
+    quoted = facts.filter(alive() & (F.coalesce("source_quote", F.lit("")) != "")).select("id", "fingerprint", "source_quote", "fact_summary")
+    checked = quoted.select("fingerprint", "source_quote").distinct().join(texts, "fingerprint").groupBy("fingerprint", "source_quote").agg(F.max(F.col("extracted_text").contains(F.col("source_quote"))).alias("found"))
+    holds = F.coalesce(F.lower("source_quote").contains(F.lower("fact_summary")), F.lit(False))
+    return quoted.join(checked, ["fingerprint", "source_quote"]).select("id", "found", holds.alias("holds_summary"))

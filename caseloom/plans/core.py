@@ -43,7 +43,7 @@ q("a7_overall_statistics", f"select count(*) facts, round(avg(severity_score), 6
 q("a8_date_distribution", f"select strftime({DAY}, '%Y-%m') as month, count(*) n, round(avg(severity_score), 6) mean_severity from facts where {ALIVE} and {DAY} is not null group by 1 order by 1 desc limit 24", "facts")(stats.date_distribution)
 q("a16_project_summary", f"select (select count(*) from facts where {ALIVE}) facts, (select least(count(*), 1000) from facts where {ALIVE} and associated_date is not null) timeline_rows, (select count(*) from entities) entities", "facts", "entities")(stats.project_summary)
 q("a18_quality_rollup", f"select fingerprint, round(coalesce(avg(confidence), 0), 6) mean_confidence, sum(coalesce(len(people), 0))::bigint people_named, round(avg(case when coalesce(source_quote, '') <> '' then 1.0 else 0.0 end), 6) quoted from facts where {ALIVE} group by 1", "facts")(stats.quality_rollup)
-q("a19_by_month", f"select substr(associated_date, 1, 7) as month, count(*) n, max(coalesce(severity_score, 0)) top_severity, min(id) first_id from facts where {ALIVE} and associated_date is not null group by 1", "facts")(stats.by_month)
+q("a19_by_month", f"with d as (select substr(associated_date, 1, 7) as month, id, coalesce(severity_score, 0) s from facts where {ALIVE} and associated_date is not null), r as (select *, row_number() over (partition by month order by s desc, id) k from d), t as (select month, string_agg(id::varchar, ',' order by k) top_ids from r where k <= 10 group by 1) select month, count(*) n, max(s) top_severity, min(id) first_id, any_value(top_ids) top_ids from d join t using (month) group by 1", "facts")(stats.by_month)
 q("facets", f"select 'category' facet, coalesce(category, '') as value, count(*) n from facts where {ALIVE} group by category union all select 'severity', coalesce(severity_score::varchar, ''), count(*) from facts where {ALIVE} group by severity_score union all select 'language', coalesce(source_language, ''), count(*) from facts where {ALIVE} group by source_language", "facts")(stats.facets)
 
 RF = "id, fingerprint, file_name, file_type, processing_priority, last_modified"
@@ -68,7 +68,8 @@ q("s_text_hashes", "select doc_id, sha256(text) hash, sha256(text) = text_hash a
 q("s_change_priority", "select path, case when processed is null and has_extracted_text is null then 0 when last_modified > timestamp '2022-10-01' then 1 when coalesce(has_extracted_text, false) and not coalesce(processed, false) then 2 else 3 end priority from registry", "registry")(lambda r: r.select("path", F.when(F.col("processed").isNull() & F.col("has_extracted_text").isNull(), 0).when(F.col("last_modified") > F.lit("2022-10-01").cast("timestamp_ntz"), 1).when(F.coalesce("has_extracted_text", F.lit(False)) & ~F.coalesce("processed", F.lit(False)), 2).otherwise(3).alias("priority")))
 q("w_insert_ignore", "select fingerprint, min_by(path, id) path from registry where fingerprint not in (select fingerprint from text_cache) group by 1", "registry", "text_cache")(lambda r, t: store.insert_ignore(t, r.select("id", "fingerprint", "path"), ["fingerprint"], "id").select("fingerprint", "path"))
 q("w_latest_text", "select fingerprint, max(id) id from text_cache group by 1", "text_cache")(lambda t: store.latest(t.select("id", "fingerprint"), ["fingerprint"], "id").select("fingerprint", "id"))
-q("w_upsert_facts", "select fingerprint, filename, fact_summary, max(id) id from facts group by 1, 2, 3", "facts")(lambda f: store.latest(f.select("id", "fingerprint", "filename", "fact_summary"), ["fingerprint", "filename", "fact_summary"], "id"))
+q("w_latest_facts", "select fingerprint, filename, fact_summary, max(id) id from facts group by 1, 2, 3", "facts")(lambda f: store.latest(f.select("id", "fingerprint", "filename", "fact_summary"), ["fingerprint", "filename", "fact_summary"], "id"))
+q("w_upsert", "select fingerprint, min_by(path, id) path, min_by(file_type, id) file_type from registry where fingerprint not in (select fingerprint from text_cache) group by 1 union all select fingerprint, max_by(file_name, id), null from text_cache group by 1", "registry", "text_cache")(lambda r, t: store.upsert(r.groupBy("fingerprint").agg(F.min_by("path", "id").alias("path"), F.min_by("file_type", "id").alias("file_type")), t.select("fingerprint", F.col("file_name").alias("path"), F.col("id").alias("seq")), ["fingerprint"]))
 
 q("t1_timeline", f"select id, associated_date, fact_summary, category, severity_score from facts where {ALIVE} and associated_date >= '2015' and associated_date <= '2020-12-31' order by associated_date, id limit 1000", "facts")(lambda f: timeline.events(f, "2015", "2020-12-31"))
 q("t3_clusters", f"with recursive d as (select {DAY} as day, count(*) n, max(severity_score) s from facts where {ALIVE} and {DAY} is not null group by 1), r(day, start) as (select min(day), min(day) from d union all select x.day, case when x.day - r.start > 7 then x.day else r.start end from r, lateral (select min(day) as day from d where d.day > r.day) x where x.day is not null) select start cluster_start, max(r.day) cluster_end, sum(n)::bigint n, max(s) top_severity, count(*) as days from r join d on r.day = d.day group by 1", "facts")(lambda f: timeline.clusters(f, 7))
@@ -88,21 +89,22 @@ q("g7_degrees", f"with {PEOPLE}, d as (select node, count(distinct o) degree fro
 q("g8_betweenness", None, "facts")(lambda f: graph.betweenness(graph.people_pairs(f)))
 q("g9_communities", None, "facts")(lambda f: graph.communities(graph.people_pairs(f)))
 q("g10_clustering", f"with {PEOPLE}, u as (select a, b from e), d as (select node, count(*) degree from (select a node from u union all select b from u) group by 1), t as (select x.a p, x.b q, y.b r from u x join u y on x.b = y.a join u z on z.a = x.a and z.b = y.b), c as (select node, count(*) k from (select p node from t union all select q from t union all select r from t) group by 1) select node, degree, coalesce(k, 0) triangles, round(coalesce(2 * coalesce(k, 0) / nullif(degree * (degree - 1), 0)::double, 0), 6) clustering from d left join c using (node)", "facts")(lambda f: graph.clustering(graph.people_pairs(f)))
-q("g12_alias_matches", r"with p as (select distinct trim(value) v from entities where lower(entity_type) = 'person' and value is not null), w as (select v, regexp_split_to_array(regexp_replace(v, '[.,]', '', 'g'), '\s+') w from p), k as (select v, lower(w[2]) l, lower(substr(w[1], 1, 1)) i, length(w[1]) = 1 s from w where len(w) = 2) select a.v alias_value, b.v as value from k a join k b on a.l = b.l and a.i = b.i where a.s and not b.s", "entities")(graph.alias_matches)
+q("g12_alias_matches", None, "entities")(graph.alias_matches)
 q("g13_locations", f"with {FILES}, l as (select id, value, confidence, regexp_extract(coalesce(normalized_value, value), '(-?[0-9]+\\.?[0-9]*)[,\\s]+(-?[0-9]+\\.?[0-9]*)', ['a', 'b']) m from entities where lower(entity_type) = 'location' and confidence >= 0 and fingerprint in (select fingerprint from files)), c as (select id, value, confidence, try_cast(m.a as double) a, try_cast(m.b as double) b from l) select id, value, confidence, case when a between -90 and 90 and b between -180 and 180 then a end lat, case when a between -90 and 90 and b between -180 and 180 then b end lon from c order by confidence desc, id limit 100", "facts", "entities")(graph.locations)
 q("g14_parsed_locations", "with l as (select id, regexp_extract(value, '(-?[0-9]+\\.?[0-9]*)[,\\s]+(-?[0-9]+\\.?[0-9]*)', ['a', 'b']) m from entities), c as (select id, try_cast(m.a as double) a, try_cast(m.b as double) b from l) select id, a lat, b lon from c where a between -90 and 90 and b between -180 and 180", "entities")(lambda e: e.select("id", parsed_location("value").alias("p")).filter("p is not null").select("id", "p.lat", "p.lon"))
 PLACES = "p as (select id, try_cast(m.a as double) lat, try_cast(m.b as double) lon from (select id, regexp_extract(value, '(-?[0-9]+\\.?[0-9]*)[,\\s]+(-?[0-9]+\\.?[0-9]*)', ['a', 'b']) m from entities where lower(entity_type) = 'location')), v as (select * from p where lat between -90 and 90 and lon between -180 and 180)"
-q("g15_nearby", f"with {PLACES}, d as (select a.id id_a, b.id id_b, 2 * 6371.0088 * asin(least(sqrt(pow(sin(radians((a.lat - b.lat) / 2)), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians((a.lon - b.lon) / 2)), 2)), 1)) km from v a join v b on a.id < b.id and abs(a.lat - b.lat) < 1) select id_a, id_b, round(km, 3) km from d where km <= 50", "entities")(lambda e: graph.nearby(e.filter("lower(entity_type) = 'location'").select("id", parsed_location("value").alias("p")).filter("p is not null").select("id", "p.lat", "p.lon"), 50.0))
+q("g15_nearby", f"with {PLACES}, d as (select a.id id_a, b.id id_b, 2 * 6371.0088 * asin(least(sqrt(pow(sin(radians((a.lat - b.lat) / 2)), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians((a.lon - b.lon) / 2)), 2)), 1)) km from v a join v b on a.id < b.id) select id_a, id_b, round(km, 3) km from d where km <= 500", "entities")(lambda e: graph.nearby(e.filter("lower(entity_type) = 'location'").select("id", parsed_location("value").alias("p")).filter("p is not null").select("id", "p.lat", "p.lon"), 500.0))
 
+LEAST_Z = {"severity": 2.0, "confidence": 2.0, "quality": 1.5}  # qualities are spread evenly: none lies two deviations out
 for metric, column in anomaly.METRICS.items():
-    q(f"n1_{metric}_anomalies", f"with s as (select avg({column}::double) m, stddev_pop({column}::double) sd from facts where {ALIVE} and {column} is not null) select id, {column}::double as value, round(m, 6) mean, round(({column} - m) / nullif(sd, 0), 6) z from facts, s where {ALIVE} and abs(({column} - m) / nullif(sd, 0)) > 2", "facts")(lambda f, metric=metric: anomaly.fact_anomalies(f, metric, 2.0))
+    q(f"n1_{metric}_anomalies", f"with s as (select avg({column}::double) m, stddev_pop({column}::double) sd from facts where {ALIVE} and {column} is not null) select id, {column}::double as value, round(m, 6) mean, round(({column} - m) / nullif(sd, 0), 6) z from facts, s where {ALIVE} and abs(({column} - m) / nullif(sd, 0)) > {LEAST_Z[metric]}", "facts")(lambda f, metric=metric: anomaly.fact_anomalies(f, metric, LEAST_Z[metric]))
 q("n2_size_anomalies", "with s as (select avg(file_size::double) m, stddev_pop(file_size::double) sd from registry) select id, file_size::double as value, round(m, 6) mean, round((file_size - m) / nullif(sd, 0), 6) z, round(least(abs(round((file_size - m) / nullif(sd, 0), 6)) / 5.0, 1.0), 6) score from registry, s where abs((file_size - m) / nullif(sd, 0)) > 2.5", "registry")(anomaly.size_anomalies)
 q("n3_severity_outliers", f"with b as (select id, fingerprint, severity_score v from facts where {ALIVE} and severity_score is not null), g as (select fingerprint, list_sort(list(v)) l, count(*) n from b group by 1 having count(*) >= 4), f as (select fingerprint, greatest(trunc(l[n // 4 + 1] - 1.5 * (l[3 * n // 4 + 1] - l[n // 4 + 1])), 0)::int low, least(trunc(l[3 * n // 4 + 1] + 1.5 * (l[3 * n // 4 + 1] - l[n // 4 + 1])), 10)::int high from g) select id, v severity_score, low, high, round(least(greatest(low - v, v - high) / 5.0::double, 1.0), 6) score from b join f using (fingerprint) where v < low or v > high", "facts")(anomaly.severity_outliers)
 q("n4_repeated_hashes", "select evidence_hash, count(*) n, round(least(count(*) / 20.0::double, 1.0), 6) score from facts where evidence_hash is not null group by 1 having count(*) > 1", "facts")(lambda f: anomaly.repeated_hashes(f, 1))
-q("n4_frequent_pairs", f"with {PEOPLE}, m as (select avg(n) m from e) select a, b, n, round(least(n / (5 * m), 1.0), 6) score from e, m where n > 3 * m", "facts")(lambda f: anomaly.frequent_pairs(graph.people_pairs(f)))
+q("n4_frequent_pairs", f"with p as (select distinct id, trim(x) p from (select id, unnest(tags) x from facts where {ALIVE}) where trim(x) <> ''), e as (select a.p a, b.p b, count(*) n from p a join p b on a.id = b.id and a.p < b.p group by 1, 2), m as (select avg(n) m from e) select a, b, n, round(least(n / (5 * m), 1.0), 6) score from e, m where n > 1.1 * m", "facts")(lambda f: anomaly.frequent_pairs(graph.people_pairs(f.withColumn("people", F.col("tags"))), 1.1))
 q("n6_weighted_evidence", f"select id, fingerprint, filename, fact_summary, category, severity_score, confidence, quality_score, round({W}, 6) weight, created_at from facts where {ALIVE} and {W} >= 0.5 order by weight desc, id limit 1000", "facts")(lambda f: weights.weighted(f, 0.5, 1000))
 q("n8_corroboration", f"select trim(regexp_replace(lower(fact_summary), '\\s+', ' ', 'g')) summary, count(distinct fingerprint) sources, count(*) facts, coalesce(max(severity_score) - min(severity_score), 0) >= 5 contradicted from facts where {ALIVE} and fact_summary is not null group by 1 having count(distinct fingerprint) >= 2", "facts")(weights.corroboration)
-q("n9_quote_checks", f"select f.id, max(contains(extracted_text, source_quote)::int)::boolean as found from facts f join text_cache t using (fingerprint) where {ALIVE} and coalesce(source_quote, '') <> '' and extracted_text is not null group by 1", "facts", "text_cache")(weights.quote_checks)
+q("n9_quote_checks", f"select f.id, max(contains(extracted_text, source_quote)::int)::boolean as found, coalesce(any_value(contains(lower(source_quote), lower(fact_summary))), false) as holds_summary from facts f join text_cache t using (fingerprint) where {ALIVE} and coalesce(source_quote, '') <> '' and extracted_text is not null group by 1", "facts", "text_cache")(weights.quote_checks)
 
 TOP = f"t as (select id, fingerprint, round({W}, 6) weight from facts where {ALIVE} and {W} >= 0.6 order by weight desc, id limit 1000), v as (select distinct fingerprint, value from entities where value is not null and fingerprint in (select fingerprint from t)), o as (select a.fingerprint f, b.fingerprint g, count(*) n from v a join v b on a.value = b.value group by 1, 2 having count(*) >= 2)"
 q("c1_chains", f"with {TOP}, r as (select t.id, t.fingerprint, t.weight, count(*) - 1 * max((u.fingerprint = t.fingerprint)::int) related from t join o on o.f = t.fingerprint join t u on u.fingerprint = o.g group by 1, 2, 3) select id, fingerprint, weight, related from r where related >= 2", "facts", "entities")(lambda f, e: chains.detect(f, e, 0.6, 2))
@@ -123,65 +125,83 @@ q("c5_date_correlation", f"with {CASES}, a as (select distinct associated_date d
 q("c5_entity_similarity", f"with {CASES}, a as (select distinct value from e1 where value is not null), b as (select distinct value from e2 where value is not null) select (select count(*) from a) n1, (select count(*) from b) n2, (select count(*) from a join b using (value)) common, round(2 * (select count(*) from a join b using (value)) / nullif((select count(*) from a) + (select count(*) from b), 0)::double, 6) dice", "entities")(lambda e: compare.entity_similarity(*halves(e)))
 q("c6_across_cases", f"with {CASES} select value, string_agg(distinct c, ',' order by c) cases, count(distinct c) n from (select 'one' c, value from e1 union all select 'two', value from e2) where value is not null group by 1 having count(distinct c) >= 2", "entities")(lambda e: compare.across(dict(zip(("one", "two"), halves(e)))))
 q("c6_matching_facts", f"with {CASES}, a as (select trim(regexp_replace(lower(fact_summary), '\\s+', ' ', 'g')) summary, count(*) n1 from f1 where {ALIVE} and fact_summary is not null group by 1), b as (select trim(regexp_replace(lower(fact_summary), '\\s+', ' ', 'g')) summary, count(*) n2 from f2 where {ALIVE} and fact_summary is not null group by 1) select summary, n1, n2 from a join b using (summary)", "facts")(lambda f: compare.matching_facts(*halves(f)))
-q("c7_dedup_groups", None, "facts")(lambda f: dedup.groups(f))
-q("c8_merged", None, "facts")(lambda f: dedup.merged(f, dedup.groups(f), "most_severe"))
+# in the order of ids, a set follows the first earlier set near it that doesn't follow another
+GREEDY = r"s as (select id, coalesce(associated_date, chr(1)) d, coalesce(category, chr(1)) k, list_sort(list_distinct(list_filter(regexp_split_to_array(trim(lower(coalesce(fact_summary, ''))), '\s+'), lambda x: x <> ''))) w from facts), p as (select d, k, w, min(id) id, len(w) n from s where len(w) > 0 group by 1, 2, 3), e as (select a.id a, b.id b from p a join p b on a.d = b.d and a.k = b.k and a.id < b.id and a.n * 0.85 <= b.n and b.n * 0.85 <= a.n where len(list_intersect(a.w, b.w))::double / (a.n + b.n - len(list_intersect(a.w, b.w))) >= 0.85), o as (select b, list(a) before, row_number() over (order by b) step from e group by 1), g(step, followers) as (select 0::bigint, []::bigint[] union all select o.step, case when len(list_filter(o.before, lambda x: not list_contains(g.followers, x))) > 0 then list_append(g.followers, o.b) else g.followers end from g join o on o.step = g.step + 1), f as (select followers from g order by step desc limit 1), l as (select o.b id, list_min(list_filter(o.before, lambda x: not list_contains(f.followers, x))) leader from o, f where list_contains(f.followers, o.b)), q as (select s.id, case when len(s.w) = 0 then s.id else coalesce(l.leader, p.id) end leader from s left join p on p.d = s.d and p.k = s.k and p.w = s.w left join l on l.id = p.id)"
+q("c7_dedup_groups", f"with recursive {GREEDY} select id, leader from q", "facts")(lambda f: dedup.groups(f))
+q("c8_merged", f"with recursive {GREEDY}, m as (select leader, arg_max(id, [coalesce(severity_score, -1), -id]) id from q join facts using (id) group by 1) select leader, id, fact_summary, associated_date, category, identified_crime, severity_score, confidence from m join facts using (id)", "facts")(lambda f: dedup.merged(f, dedup.groups(f), "most_severe"))
+q("c8_merged_all", f"with recursive {GREEDY} select leader, array_to_string(list_sort(list_distinct(list(fact_summary) filter (where fact_summary is not null))), '; ') fact_summary, min_by(associated_date, id) filter (where associated_date is not null) associated_date, min_by(category, id) filter (where category is not null) category, min_by(identified_crime, id) filter (where identified_crime is not null) identified_crime, max(severity_score) severity_score, max(confidence) confidence from q join facts using (id) group by 1", "facts")(lambda f: dedup.merged(f, dedup.groups(f), "merge_all"))
 q("c9_exact_dedup", "select raw_id, source, summary from llm_facts qualify row_number() over (partition by source, summary order by raw_id) = 1", "llm_facts")(lambda x: dedup.exact(x.select("raw_id", "source", "summary"), "raw_id", ["source", "summary"]))
 q("c10_fact_quality", f"with f as (select id, least(greatest(coalesce(confidence, 0), 0), 1)::double c, greatest(strlen(coalesce(evidence_full, source_quote, '')), 1) src, strlen(coalesce(fact_summary, '')) s, strlen(coalesce(source_quote, '')) qn, coalesce(len(people), 0) p from facts where {ALIVE}), g as (select *, least(s / src::double, 1) cov, 1000.0::double * p / src den, coalesce(least(qn / nullif(s, 0)::double, 1), 0) quo from f), h as (select *, round(0.4::double * c + 0.2::double * cov + 0.2::double * least(den, 10) / 10 + 0.2::double * quo, 6) o from g) select id, o overall, case when o >= 0.7 then 'Good' when o >= 0.4 then 'Marginal' else 'Poor' end as level, array_to_string(list_filter([case when c < 0.5 then 'LowConfidence' end, case when qn < 10 then 'ShortQuote' end, case when cov < 0.1 then 'PoorCoverage' end, case when s > 0 and p = 0 then 'EntityMismatch' end], lambda x: x is not null), ',') issues, o < 0.5 or c < 0.5 or cov < 0.1 as retry from h", "facts")(quality.fact_quality)
 q("c12_text_quality", "with t as (select id, coalesce(extracted_text, '') t, strlen(coalesce(extracted_text, '')) n from text_cache), w as (select id, n, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) k, length(regexp_replace(t, '\\s+', '', 'g')) ch, not regexp_matches(t, '[^\\s[:punct:]]') blank from t) select id, round(case when n < 100 then 0.3::double when n < 500 then 0.7::double else 1.0::double end * case when n < 50 or blank then 0.2::double else 1.0::double end * case when k > 0 and ch / k::double > 20 then 0.5::double else 1.0::double end, 6) confidence, n < 50 or blank as scanned, k::int words from w", "text_cache")(lambda t: quality.text_quality(t, "id", "extracted_text"))
 
 
-def bm25(columns: list[str], terms: list[str], source: str) -> str:
+def bm25(columns: list[str], terms: list[str], source: str, counts: list[str] | None = None) -> str:
+    """Common table expressions of which r is the source with counts f0, f1, ... of the terms and rank. counts: how to count each instead."""
     toks = [f"list_filter(string_split(regexp_replace(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')" for c in columns]
-    f = [" + ".join(f"len(list_filter({t}, lambda x: x = '{w}'))" for t in toks) for w in terms]
+    f = counts or [" + ".join(f"len(list_filter({t}, lambda x: x = '{w}'))" for t in toks) for w in terms]
     d = " + ".join(f"len({t})" for t in toks)
-    idf = [f"(select case when ln((n - n{k} + 0.5) / (n{k} + 0.5)) <= 0 then 1e-6 else ln((n - n{k} + 0.5) / (n{k} + 0.5)) end from s)" for k in range(len(terms))]
+    idf = [f"(select case when ln((n - n{k} + 0.5) / (n{k} + 0.5)) <= 0 then 1e-6 else ln((n - n{k} + 0.5) / (n{k} + 0.5)) end from s)" for k in range(len(f))]
     score = " + ".join(f"{i} * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * d / (select a from s)))" for k, i in enumerate(idf))
-    return f"with x as (select *, {', '.join(f'{e} f{k}' for k, e in enumerate(f))}, {d} d from {source}), s as (select count(*) n, avg(d) a, {', '.join(f'count(*) filter (where f{k} > 0) n{k}' for k in range(len(terms)))} from x), r as (select *, round(-({score}), 6) as rank from x)"
+    return f"with x as (select *, {', '.join(f'{e} f{k}' for k, e in enumerate(f))}, {d} d from {source}), s as (select count(*) n, avg(d) a, {', '.join(f'count(*) filter (where f{k} > 0) n{k}' for k in range(len(f)))} from x), r as (select *, round(-({score}), 6) as rank from x)"
+
+
+def folded(c: str) -> str:
+    return f"list_filter(string_split(regexp_replace(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def phrase_count(columns: list[str], a: str, b: str) -> str:
+    return " + ".join(f"len(list_filter(range(1, len({folded(c)})), lambda i: ({folded(c)})[i] = '{a}' and ({folded(c)})[i + 1] = '{b}'))" for c in columns)
+
+
+def prefix_count(columns: list[str], head: str) -> str:
+    return " + ".join(f"len(list_filter({folded(c)}, lambda x: starts_with(x, '{head}')))" for c in columns)
 
 
 FACTS_ALIVE = f"(select * from facts where {ALIVE})"
 q("f1_search_facts", bm25(search.FACT_COLUMNS, ["scanner", "recording"], FACTS_ALIVE) + " select id, filename, fact_summary, category, severity_score, rank from r where f0 > 0 or f1 > 0 order by rank, id limit 100", "facts")(lambda f: search.facts(f, "scanner OR recording"))
 q("f2_search_facts_filtered", bm25(search.FACT_COLUMNS, ["payment", "plumber", "archive"], FACTS_ALIVE) + " select id, filename, fact_summary, category, severity_score, rank from r where f0 > 0 and (f1 > 0 or f2 > 0) and severity_score >= 3 and category in ('financial', 'legal', 'activity') and associated_date >= '2010' order by rank, id limit 50", "facts")(lambda f: search.facts(f, "payment AND (plumber OR archive)", 50, ["financial", "legal", "activity"], 3, "2010"))
 q("f2_search_facts_not", bm25(search.FACT_COLUMNS, ["scanner", "payment"], FACTS_ALIVE) + " select id, filename, fact_summary, category, severity_score, rank from r where f0 > 0 and not f1 > 0 order by rank, id limit 100", "facts")(lambda f: search.facts(f, "scanner NOT payment"))
-q("f2_search_phrase", None, "facts")(lambda f: search.facts(f, '"second signature" AND cross*'))
+q("f2_search_phrase", bm25(search.FACT_COLUMNS, [], FACTS_ALIVE, [phrase_count(search.FACT_COLUMNS, "second", "signature"), prefix_count(search.FACT_COLUMNS, "cross")]) + " select id, filename, fact_summary, category, severity_score, rank from r where f0 > 0 and f1 > 0 order by rank, id limit 100", "facts")(lambda f: search.facts(f, '"second signature" AND cross*'))
 q("f3_search_entities", bm25(search.ENTITY_COLUMNS, ["logistics"], "entities") + " select id, value, normalized_value, lower(entity_type) entity_type, confidence, rank from r where f0 > 0 and lower(entity_type) = 'organization' and confidence >= 0.5 order by rank, id limit 100", "entities")(lambda e: search.entities(e, "logistics", 100, ["ORGANIZATION"], 0.5))
-q("f4_search_combined", None, "facts", "entities")(lambda f, e: search.combined(f, e, "timber OR scanner"))
-q("f7_postings", "select term, id doc, count(*)::bigint tf, list_sort(list(pos)).list_transform(lambda x: x::int) positions from (select id, unnest(t) term, unnest(range(len(t))) pos from (select id, list_filter(string_split(regexp_replace(strip_accents(lower(coalesce(category, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') t from facts)) group by 1, 2", "facts")(lambda f: search.postings(f, "id", search.FACT_COLUMNS))
+q("f4_search_combined", f"with a as ({bm25(search.FACT_COLUMNS, ['timber', 'scanner'], FACTS_ALIVE)} select 'fact' kind, id, fact_summary title, null::varchar description, category, severity_score, rank from r where f0 > 0 or f1 > 0 order by rank, id limit 50), b as ({bm25(search.ENTITY_COLUMNS, ['timber', 'scanner'], 'entities')} select 'entity' kind, id, value title, normalized_value description, lower(entity_type) category, null::int severity_score, rank from r where f0 > 0 or f1 > 0 order by rank, id limit 50) select * from (select * from a union all select * from b) order by rank, kind, id limit 50", "facts", "entities")(lambda f, e: search.combined(f, e, "timber OR scanner"))
+q("f3_entity_facts", f"with n as (select fingerprint, min(filename) filename from facts where {ALIVE} group by 1), h as ({bm25(search.ENTITY_COLUMNS, ['logistics'], 'entities')} select id, value, fingerprint, rank from r where f0 > 0) select id, value, filename, rank from h join n using (fingerprint) order by rank, id limit 100", "entities", "facts")(lambda e, f: search.entity_facts(e, f, "logistics"))
+q("f7_postings", " union all ".join(f"select '{c}' as column, term, id doc, count(*)::bigint tf, list_sort(list(pos)).list_transform(lambda x: x::int) positions from (select id, unnest(t) term, unnest(range(len(t))) pos from (select id, {folded(c)} t from facts)) group by 2, 3" for c in search.FACT_COLUMNS), "facts")(lambda f: search.postings(f, "id", search.FACT_COLUMNS))
 
 q("u1_chunks", "with t as (select id, file_name, extracted_text t, length(extracted_text) n from text_cache where extracted_text <> ''), l as (select *, case when n <= 2000 then 0 else ceil((n - 2000) / 1850.0)::int end m from t), c as (select *, unnest(range(m + 1))::int k from l) select id, k chunk_no, case when k = 0 then file_name else coalesce(file_name, '') || ' (Part ' || (k + 1) || '/' || (m + 1) || ')' end as label, substr(t, k * 1850 + 1, 2000) chunk from c", "text_cache")(lambda t: inference.chunks(t, "id", "file_name", "extracted_text"))
 q("u6_parse_facts", "select raw_id id, coalesce(source, 'unknown') source, coalesce(summary, 'No summary') summary, coalesce(category, 'other') category, coalesce(severity, 1) severity, len(coalesce(people, []))::int people from llm_facts", "llm_facts")(
     lambda x: inference.parse_facts(x.select(F.col("raw_id").alias("id"), F.lit(0).alias("chunk_no"), F.lit("unknown").alias("label"), F.to_json(F.array(F.struct(*[c for c in x.columns if c != "raw_id"]))).alias("output"))).select("id", "source", "summary", "category", "severity", F.size("people").alias("people"))
 )
 q("u8_entity_counts", "select raw_id, coalesce(len(people), 0)::int n from llm_facts", "llm_facts")(lambda x: x.select("raw_id", inference.entity_count(F.to_json(F.struct(F.coalesce("people", F.array().cast("array<string>")).alias("entities")))).alias("n")))
-q("u14_languages", None, "documents")(lambda d: d.select("doc_id", inference.language(F.col("text")).alias("language")))
+q("u14_languages", "with w as (select doc_id, text, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+') w from documents), n as (select doc_id, text, greatest(" + ", ".join(f"row(len(list_filter(w, lambda x: list_contains({x.split()!r}, x))), '{c}')" for c, x in inference.COMMON_WORDS.items()) + ") b from w) select doc_id, case when regexp_matches(text, '[\u3040-\u30ff]') then 'ja' when b[1] > 0 then b[2] end as language from n", "documents")(lambda d: d.select("doc_id", inference.language(F.col("text")).alias("language")))
 q("derived_entities", f"select distinct id intelligence_id, fingerprint, entity_type, value, lower(value) normalized_value, confidence from (select id, fingerprint, 'person' entity_type, trim(x) as value, confidence from (select id, fingerprint, confidence, unnest(people) x from facts) union all select id, fingerprint, 'location', trim(location), confidence from facts) where value <> ''", "facts")(inference.derived_entities)
 q("w12_export_facts", f"select id, fingerprint, filename, fact_summary summary, category, severity_score severity, confidence, quality_score quality, round({W}, 6) weight, created_at from facts where {ALIVE} and category in ('financial', 'legal') and associated_date >= '2012' and {W} >= 0.3 order by weight desc, id limit 10000", "facts")(lambda f: export.facts(f, 0.3, 10_000, ["financial", "legal"], "2012"))
-q("w13_fact_lines", None, "facts")(lambda f: export.fact_lines(f, 0.4, 1000))
-q("w14_entity_lines", None, "facts", "entities")(lambda f, e: export.entity_lines(f, e))
-q("w15_timeline_json", None, "facts")(lambda f: export.timeline(f))
+THREE = "cast(round(cast(cast({} as varchar) as decimal(38, 20)), 3) as decimal(18, 3))::varchar"
+HEAVY = f"select *, round({W}, 6) weight from facts where {ALIVE} and {W} >= "
+q("w13_fact_lines", f"""select id, concat_ws(',', id::varchar, '"' || replace(coalesce(filename, ''), '"', '""') || '"', '"' || replace(coalesce(fact_summary, ''), '"', '""') || '"', coalesce(category, ''), coalesce(severity_score::varchar, '0'), {THREE.format("coalesce(confidence, 0.0::double)")}, {THREE.format("weight")}) as line from ({HEAVY} 0.4) order by weight desc, id limit 1000""", "facts")(lambda f: export.fact_lines(f, 0.4, 1000))
+q("w14_entity_lines", f"""with f as (select fingerprint, count(*) co from facts where {ALIVE} and confidence >= 0 group by 1), t as (select id, value, lower(entity_type) entity_type, co occurrences from entities join f using (fingerprint) where confidence >= 0 order by occurrences desc, id limit 50), c as (select *, round(occurrences / max(occurrences) over ()::double, 6) centrality from t) select id, concat_ws(',', id::varchar, '"' || replace(value, '"', '""') || '"', entity_type, occurrences::varchar, {THREE.format("centrality")}) as line from c""", "facts", "entities")(lambda f, e: export.entity_lines(f, e))
+q("w15_timeline_json", f"select '{{' || concat_ws(',', '\"id\":' || id, '\"associated_date\":' || to_json(associated_date)::varchar, '\"fact_summary\":' || to_json(fact_summary)::varchar, '\"category\":' || to_json(category)::varchar, '\"severity_score\":' || severity_score) || '}}' as json from facts where {ALIVE} and associated_date is not null order by associated_date, id limit 10000", "facts")(lambda f: export.timeline(f))
 q("stream_windowed_counts", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) n, round(avg(value), 6) mean from events group by 1, 2", "events")(lambda e: ingest.windowed_counts(e.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "ts", "event_type", "value").withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
 def derived_chains(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chains and links as facts imply them: a chain for each crime, linked by confidence."""
     named = facts.filter("identified_crime is not null")
-    chain = F.pmod(F.crc32(F.col("identified_crime").cast("binary")), F.lit(1_000_000)).cast("long")
+    chain = F.xxhash64("identified_crime")
     links = named.select(F.col("id"), chain.alias("chain_id"), F.col("id").alias("intelligence_id"), F.coalesce("category", F.lit("none")).alias("relationship_type"), F.coalesce("confidence", F.lit(0.5)).alias("relationship_strength"), F.col("created_at").alias("linked_at"))
-    heads = named.groupBy(F.col("identified_crime").alias("chain_name")).agg(F.max("created_at").alias("updated_at")).withColumn("id", F.pmod(F.crc32(F.col("chain_name").cast("binary")), F.lit(1_000_000)).cast("long")).withColumn("chain_type", F.lit("crime"))
+    heads = named.groupBy(F.col("identified_crime").alias("chain_name")).agg(F.max("created_at").alias("updated_at")).withColumn("id", F.xxhash64("chain_name")).withColumn("chain_type", F.lit("crime"))
     return heads, links
 
 
-def chain_of(name: str) -> int:
-    import zlib
-
-    return zlib.crc32(name.encode()) % 1_000_000
+def chain_of(facts: DataFrame, name: str) -> int:
+    """The id of a chain by its name: the 64-bit hash that derived_chains gives it."""
+    return facts.sparkSession.range(1).select(F.xxhash64(F.lit(name))).first()[0]
 
 
 q("a11_all_chains", "select chain_name, count(*) items, round(avg(coalesce(confidence, 0.5)), 6) mean_strength, max(created_at) updated_at from (select *, identified_crime chain_name from facts where identified_crime is not null) group by 1", "facts")(lambda f: chains.all_chains(*derived_chains(f), 1000).select("chain_name", "items", "mean_strength", "updated_at"))
-q("a12_chain_statistics", "select count(*) items, round(avg(severity_score), 6) mean_severity, max(severity_score) top_severity, min(severity_score) least_severity, count(distinct category) categories, count(distinct coalesce(category, 'none')) relationships from facts where identified_crime = 'fraud'", "facts")(lambda f: chains.statistics(derived_chains(f)[1], f, chain_of("fraud")).withColumns({"categories": F.size("categories").cast("long"), "relationships": F.size("relationships").cast("long")}))
-q("c4_chain_items", "select id, fact_summary, filename, category, severity_score from facts where identified_crime = 'bribery'", "facts")(lambda f: chains.items(derived_chains(f)[1], f, chain_of("bribery")).select("id", "fact_summary", "filename", "category", "severity_score"))
-q("f6_chain_search", "select id, fact_summary from facts where identified_crime = 'theft' and (contains(lower(fact_summary), 'meeting') or contains(lower(filename), 'meeting') or contains(lower(category), 'meeting'))", "facts")(lambda f: chains.search(derived_chains(f)[1], f, chain_of("theft"), "Meeting").select("id", "fact_summary"))
-q("w10_chain_without", "select id from facts where identified_crime is not null and identified_crime <> 'theft'", "facts")(lambda f: chains.without_links(derived_chains(f)[1], chain_of("theft")).select("id"))
+q("a12_chain_statistics", "select count(*) items, round(avg(severity_score), 6) mean_severity, max(severity_score) top_severity, min(severity_score) least_severity, count(distinct category) categories, count(distinct coalesce(category, 'none')) relationships from facts where identified_crime = 'fraud'", "facts")(lambda f: chains.statistics(derived_chains(f)[1], f, chain_of(f, "fraud")).withColumns({"categories": F.size("categories").cast("long"), "relationships": F.size("relationships").cast("long")}))
+q("c4_chain_items", "select id, fact_summary, filename, category, severity_score from facts where identified_crime = 'bribery'", "facts")(lambda f: chains.items(derived_chains(f)[1], f, chain_of(f, "bribery")).select("id", "fact_summary", "filename", "category", "severity_score"))
+q("f6_chain_search", "select id, fact_summary from facts where identified_crime = 'theft' and (contains(lower(fact_summary), 'meeting') or contains(lower(filename), 'meeting') or contains(lower(category), 'meeting'))", "facts")(lambda f: chains.search(derived_chains(f)[1], f, chain_of(f, "theft"), "Meeting").select("id", "fact_summary"))
+q("w10_chain_without", "select id from facts where identified_crime is not null and identified_crime <> 'theft'", "facts")(lambda f: chains.without_links(derived_chains(f)[1], chain_of(f, "theft")).select("id"))
 q("n5_capped_weights", f"select id, round({W.replace('coalesce(severity_score, 0) / 5.0::double', 'least(coalesce(severity_score, 0) / 5.0::double, 1.0)')}, 6) weight from facts where {ALIVE}", "facts")(lambda f: f.filter(~F.coalesce("is_deleted", F.lit(False))).select("id", r6(weights.weight(True)).alias("weight")))
 q("n7_source_weights", f"with r as (select fingerprint, avg(quality_score) reliability from text_cache group by 1), w as (select id, ({W.replace('coalesce(severity_score, 0) / 5.0::double', 'least(coalesce(severity_score, 0) / 5.0::double, 1.0)')}) * coalesce(reliability, 1.0) w from facts left join r using (fingerprint) where {ALIVE}) select id, round(w, 9) weight, case when w >= 0.6 then 'primary' else 'secondary' end as label from w", "facts", "text_cache")(lambda f, t: weights.custom_weighted(f, t.groupBy("fingerprint").agg(F.avg("quality_score").alias("reliability"))))
 q("w4_status", "with e as (select fingerprint, max(created_at) made from text_cache group by 1) select id, coalesce(has_extracted_text, false) or e.made is not null has_text, coalesce(e.made, extracted_at) extracted_at, case when e.made is not null then 1.0::double else extraction_quality end quality from registry left join e using (fingerprint)", "registry", "text_cache")(lambda r, t: store.apply_status(r, t.select("fingerprint", F.lit("extracted").alias("status"), F.lit(False).alias("partial"), F.col("created_at").alias("at"))).select("id", F.col("has_extracted_text").alias("has_text"), "extracted_at", F.col("extraction_quality").alias("quality")))
@@ -191,3 +211,11 @@ q("s14_extraction_counts", "select extraction_id, strlen(text)::bigint bytes, le
 q("s17_page_counts", "select id, len(string_split(coalesce(extracted_text, ''), chr(12)))::int pages from text_cache", "text_cache")(lambda t: t.select("id", files.page_count(F.col("extracted_text")).alias("pages")))
 q("j9_chains_left", "select identified_crime chain_name, count(*) items from facts where identified_crime is not null group by 1", "facts")(lambda f: chains.all_chains(*derived_chains(f), 1000).select("chain_name", "items"))
 q("g11_resolve", "with a as (select id, value, entity_type, confidence from entities where value = 'Ostwick') select id, value, entity_type, 'place' alias_type, round(confidence, 6) alias_confidence from a", "entities")(lambda e: graph.resolve(e.filter("value = 'Ostwick'").select(F.col("id").alias("canonical_entity_id"), F.lit("the western port").alias("alias_value"), F.lit("place").alias("alias_type"), r6(F.col("confidence")).alias("confidence")), e, "the western port"))
+q("a7_with_chains", f"select count(*) facts, round(avg(severity_score), 6) mean_severity, round(avg(confidence), 6) mean_confidence, round(avg(quality_score), 6) mean_quality, (select count(*) from entities) entities, (select count(distinct value) from entities) different_entities, (select count(distinct identified_crime) from facts) chains, (select count(identified_crime) from facts) links from facts where {ALIVE}", "facts", "entities")(lambda f, e: stats.overall_statistics(f, e, *derived_chains(f)))
+q("a20_batch_outcome", "select count(*) filter (where coalesce(has_extracted_text, false)) successes, count(*) filter (where not coalesce(has_extracted_text, false)) errors from registry", "registry")(lambda r: stats.batch_outcome(r.select(F.when(F.coalesce("has_extracted_text", F.lit(False)), "ok").otherwise("error").alias("status"))))
+q("t3_cluster_events", f"with recursive d as (select distinct {DAY} as day from facts where {ALIVE} and {DAY} is not null), r(day, start) as (select min(day), min(day) from d union all select x.day, case when x.day - r.start > 7 then x.day else r.start end from r, lateral (select min(day) as day from d where d.day > r.day) x where x.day is not null), f as (select id, {DAY} as day, severity_score from facts where {ALIVE}) select id, day, severity_score, start cluster_start from f join r using (day)", "facts")(lambda f: timeline.cluster_events(f, 7))
+q("t5_backdating", f"with d as (select id, fingerprint, {DAY} - created_at::date days_ahead from facts where {ALIVE}) select id, fingerprint, days_ahead::int days_ahead, days_ahead > 30 flagged, round(least(days_ahead / 365.0::double, 1.0), 6) confidence from d where days_ahead > 0", "facts")(lambda f: timeline.backdating(f, 30))
+q("c7_groups_by_file", None, "facts")(lambda f: dedup.groups(f, 0.85, ("fingerprint",)))
+q("g9_modularity", None, "facts")(lambda f: graph.modularity(graph.people_pairs(f), graph.communities(graph.people_pairs(f))))
+q("s2_type_map", "select map_from_entries(list((file_type, n) order by file_type)) files_by_type from (select file_type, count(*) n from registry where file_type is not null group by 1)", "registry")(stats.type_map)
+q("c6_geographic", f"with {CASES}, l as (select 1 c, value, regexp_extract(value, '(-?[0-9]+\\.?[0-9]*)[,\\s]+(-?[0-9]+\\.?[0-9]*)', ['a', 'b']) m from e1 where lower(entity_type) = 'location' union all select 2, value, regexp_extract(value, '(-?[0-9]+\\.?[0-9]*)[,\\s]+(-?[0-9]+\\.?[0-9]*)', ['a', 'b']) from e2 where lower(entity_type) = 'location'), v as (select c, value, try_cast(m.a as double) lat, try_cast(m.b as double) lon from l), p as (select distinct c, value, lat, lon from v where lat between -90 and 90 and lon between -180 and 180), d as (select x.value place1, y.value place2, 2 * 6371.0088 * asin(least(sqrt(pow(sin(radians((x.lat - y.lat) / 2)), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians((x.lon - y.lon) / 2)), 2)), 1)) km from p x join p y on x.c = 1 and y.c = 2) select place1, place2, round(km, 3) km from d where km <= 500", "entities")(lambda e: compare.near_places(*halves(e), 500.0))

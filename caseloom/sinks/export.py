@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import centrality
-from ..operators.stats import category_distribution, overall_statistics
+from ..operators.stats import category_distribution, entity_type_distribution, overall_statistics, severity_distribution
 from ..operators.timeline import events
 from ..operators.weights import weighted
 
@@ -75,6 +75,41 @@ def sheets(fact_table: DataFrame, entities: DataFrame) -> dict[str, DataFrame]:
     return {"facts": facts(fact_table, limit=1000), "categories": category_distribution(fact_table), "entities": centrality(fact_table, entities), "timeline": events(fact_table, limit=1000), "statistics": overall_statistics(fact_table, entities)}
 
 
+def report_json(fact_table: DataFrame, entities: DataFrame, limit: int = 1000) -> str:
+    """The whole report as one JSON object: statistics, categories, severities, entity types, heaviest facts, timeline. Each part has at most `limit` rows."""
+    import json
+
+    def rows(df: DataFrame) -> list[dict]:
+        return [json.loads(r["json"]) for r in json_lines(df.limit(limit)).collect()]
+
+    parts = {
+        "statistics": rows(overall_statistics(fact_table, entities))[0], "categories": rows(category_distribution(fact_table)), "severities": rows(severity_distribution(fact_table)), "entity_types": rows(entity_type_distribution(entities)),
+        "facts": rows(facts(fact_table, 0.0, limit)), "timeline": rows(events(fact_table, limit=limit)),
+    }
+    return json.dumps(parts, indent=2, ensure_ascii=False)
+
+
+def sheets_json(fact_table: DataFrame, entities: DataFrame) -> str:
+    """The tables of a workbook as one JSON object of lists of rows."""
+    import json
+
+    return json.dumps({name: [json.loads(r["json"]) for r in json_lines(df).collect()] for name, df in sheets(fact_table, entities).items()}, ensure_ascii=False)
+
+
+def write_text(df: DataFrame, column: str, path: str) -> None:
+    """A raw sink: one column of text as lines, written by the executors; nulls are left out."""
+    df.select(F.col(column).cast("string").alias("value")).filter("value is not null").write.mode("overwrite").text(path)
+
+
+def write_document(spark: SparkSession, text: str, path: str) -> None:
+    """A raw sink for one finished document (a report): the text as it is, at a path of any file system Spark can write to."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Writes by the executors: parquet, json, or csv with all values quoted."""
     w = df.write.mode("overwrite")

@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,82 @@ def page_count(text: Column) -> Column:
     return F.size(F.split(F.coalesce(text, F.lit("")), "\f"))
 
 
+def needs_ocr(text: str | None, least_bytes: int = 100) -> bool:
+    """Is a page file a scan: has its own text layer hardly any text?"""
+    return len((text or "").strip().encode("utf-8", "replace")) < least_bytes
+
+
+def scanned_or_text(text_layer: Extractor, page_reader: Callable[[bytes, str], Iterator[str]], enough: int = 500) -> Extractor:
+    """A hook for page files: the text layer where there is one, else the pages as read one by one until enough is read. Pages that fail count as empty."""
+
+    def read(data: bytes, name: str) -> str:
+        text = text_layer(data, name)
+        if not needs_ocr(text):
+            return text
+        pages, size, it = [], 0, iter(page_reader(data, name))
+        while size < enough:
+            try:
+                page = next(it)
+            except StopIteration:
+                break
+            except Exception:
+                page = ""
+            pages.append(page)
+            size += len(page.encode("utf-8", "replace"))
+            if len(pages) > 10_000:
+                break
+        return "\n".join(pages)
+
+    return read
+
+
+def binarised(grey: np.ndarray) -> np.ndarray:
+    """A page image (rows of grey levels from 0 to 255) in black and white: stretched to full contrast, cut at the level that parts the two best (Otsu)."""
+    g = grey.astype(np.float64)
+    low, high = (np.percentile(g, q) for q in (1, 99)) if g.size else (0.0, 0.0)
+    g = np.clip((g - low) * 255.0 / max(high - low, 1e-9), 0, 255).astype(np.uint8)
+    count = np.bincount(g.ravel(), minlength=256).astype(np.float64)
+    below, mean = np.cumsum(count), np.cumsum(count * np.arange(256))
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = below * above * (mean / below - (mean[-1] - mean) / above) ** 2
+    return np.where(g > int(np.nanargmax(np.nan_to_num(apart))), 255, 0).astype(np.uint8) if g.size else g.astype(np.uint8)
+
+
+def skew(page: np.ndarray, most: float = 5.0, step: float = 0.5) -> float:
+    """By how many degrees a black and white page is turned: the angle at which its rows differ most in ink. Positive: lines fall to the right."""
+    y, x = np.nonzero(page < 128)
+    if not len(y):
+        return 0.0
+
+    def sharp(angle: float) -> float:
+        rows = np.round(y - x * np.tan(np.radians(angle))).astype(int)
+        return float((np.bincount(rows - rows.min()).astype(np.float64) ** 2).sum())
+
+    return float(max(np.arange(-most, most + step / 2, step), key=lambda a: (sharp(a), -abs(a))))
+
+
+def straightened(page: np.ndarray, angle: float) -> np.ndarray:
+    """The page turned back by an angle: each column is moved up or down; what leaves the page is white."""
+    out = np.full_like(page, 255)
+    for x in range(page.shape[1]):
+        d = int(round(x * np.tan(np.radians(angle))))
+        src = page[max(d, 0) : page.shape[0] + min(d, 0), x]
+        out[max(-d, 0) : max(-d, 0) + len(src), x] = src
+    return out
+
+
+PDF_ERRORS = (("password", r"(?i)password|encrypt"), ("corrupt", r"(?i)corrupt|eof|xref|malformed|invalid|trailer"), ("too_large", r"(?i)too large|size limit"))
+
+
+def error_class(error: Column) -> Column:
+    """What kind of failure an extraction's message tells of: password, corrupt, too_large, or other."""
+    out = F.lit("other")
+    for name, pattern in reversed(PDF_ERRORS):
+        out = F.when(error.rlike(pattern), name).otherwise(out)
+    return F.when(error.isNotNull(), out)
+
+
 def extract(files: DataFrame, hooks: dict[str, Extractor] | None = None) -> DataFrame:
     """The text of each listed file by its kind. Kinds without a reader of their own (pdf, image, audio, video) use hooks; failures become rows with a status."""
     hooks = hooks or {}
