@@ -100,6 +100,6 @@ def containers(sized: DataFrame, capacity: int, rows_per_pack: int = ROWS_PER_PA
     # what is opened again is a small part; the order makes a repeated task pack alike
     again = first.filter(~well).drop("container_id", "fill")
     n = again.count()
-    again = again.repartition(max(1, n // (4 * rows_per_pack)), "doc_id").sortWithinPartitions("doc_id", "piece_no", "n_tokens")
+    again = again.repartition(max(1, -(-n // rows_per_pack)), "doc_id").sortWithinPartitions("doc_id", "piece_no", "n_tokens")
     second = again.mapInArrow(packs(1), SCHEMA)
     return first.filter(well).unionByName(second).drop("fill")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
@@ -78,7 +79,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("p9_containers")
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = table(spark, sf_dir, "reasoner_config").filter("file_type = 'text'").select("context_size").first()
+    config = table(spark, sf_dir, "reasoner_config").filter("file_type = 'text'").agg(F.min("context_size").alias("context_size")).first()
     return packing.containers(tokens.token_counts(table(spark, sf_dir, "documents")), int(config["context_size"]))
 
 
