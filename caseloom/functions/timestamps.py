@@ -195,7 +195,8 @@ def with_source(df: DataFrame, file_name: str, sources: DataFrame, zone: str = "
 
     sources is a fixed table of sites; it is broadcast only while it has at most 10,000 rows (a join by hash otherwise).
     """
-    codes = sources.select(F.col("source_code").alias("__code"), F.col("zone_name").alias(zone), F.col("date_order").alias(order)).dropDuplicates(["__code"])
+    # of several rows of one code the least, so results don't depend on the order of rows
+    codes = sources.groupBy(F.col("source_code").alias("__code")).agg(F.min(F.struct("zone_name", "date_order")).alias("s")).select("__code", F.col("s.zone_name").alias(zone), F.col("s.date_order").alias(order))
     if sources.limit(10_001).count() <= 10_000:
         codes = F.broadcast(codes)
     return df.join(codes, F.substring_index(df[file_name], "_", 1) == F.col("__code"), "left").drop("__code")

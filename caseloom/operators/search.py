@@ -11,7 +11,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import alive, r6, tokens
@@ -148,6 +148,12 @@ def index(df: DataFrame, id_col: str, columns: list[str], name: str = "index") -
 _indexes: dict[tuple[str, str], Index] = {}
 
 
+def forget(spark: SparkSession) -> None:
+    """Searches after this build their index anew (for when its tables were cleared)."""
+    for k in [k for k in _indexes if k[0] == spark.sparkContext.applicationId]:
+        del _indexes[k]
+
+
 def ranked(idx: Index, query: str) -> DataFrame:
     """(doc, rank) of the documents that match (BM25, lower is better), from the postings of the query's terms alone."""
     tree = parse(query)
