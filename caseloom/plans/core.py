@@ -87,6 +87,7 @@ q("g5_people_pairs", f"with {PEOPLE} select a, b, n, round(least(n / (select cou
 q("g4_nodes", f"with {PEOPLE}, n as (select a node from e union select b from e) select node, case when length(node) > 15 then substr(node, 1, 15) || '...' else node end as label from n", "facts")(lambda f: graph.nodes(graph.people_pairs(f)))
 q("g7_degrees", f"with {PEOPLE}, d as (select node, count(distinct o) degree from (select a node, b o from e union all select b, a from e) group by 1) select node, degree, round(coalesce(degree / nullif((select count(*) from d) - 1, 0)::double, 0), 6) centrality from d", "facts")(lambda f: graph.degrees(graph.people_pairs(f)))
 q("g8_betweenness", None, "facts")(lambda f: graph.betweenness(graph.people_pairs(f)))
+q("g8_betweenness_sampled", None, "facts")(lambda f: graph.betweenness(graph.people_pairs(f), sources=256))
 q("g9_communities", None, "facts")(lambda f: graph.communities(graph.people_pairs(f)))
 q("g10_clustering", f"with {PEOPLE}, u as (select a, b from e), d as (select node, count(*) degree from (select a node from u union all select b from u) group by 1), t as (select x.a p, x.b q, y.b r from u x join u y on x.b = y.a join u z on z.a = x.a and z.b = y.b), c as (select node, count(*) k from (select p node from t union all select q from t union all select r from t) group by 1) select node, degree, coalesce(k, 0) triangles, round(coalesce(2 * coalesce(k, 0) / nullif(degree * (degree - 1), 0)::double, 0), 6) clustering from d left join c using (node)", "facts")(lambda f: graph.clustering(graph.people_pairs(f)))
 q("g12_alias_matches", None, "entities")(graph.alias_matches)

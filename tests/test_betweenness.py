@@ -56,3 +56,17 @@ def test_no_edges(spark):
     from caseloom.operators import graph
 
     assert graph.betweenness(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_sampled_sources(spark):
+    """As many sources as nodes give the exact values; fewer an estimate that is near on average."""
+    import random
+
+    from caseloom.operators import graph
+
+    rng = random.Random(1)
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 1) for a, b in {(rng.randrange(40), rng.randrange(40)) for _ in range(90)} if a < b], "a string, b string, n long")
+    exact = {r["node"]: r["betweenness"] for r in graph.betweenness(edges).collect()}
+    assert {r["node"]: r["betweenness"] for r in graph.betweenness(edges, sources=1000).collect()} == exact
+    part = {r["node"]: r["betweenness"] for r in graph.betweenness(edges, sources=20).collect()}
+    assert part.keys() == exact.keys() and abs(sum(part.values()) - sum(exact.values())) < 0.3 * sum(exact.values())
