@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import alive, r6, tokens
-from ..session import cut
+from ..session import cut, spread
 
 K1, B = 1.2, 0.75
 
@@ -129,17 +129,20 @@ def shifted(positions: Column, by: int) -> Column:
 
 
 def index(df: DataFrame, id_col: str, columns: list[str], name: str = "index") -> Index:
-    """Writes the index of df's columns to the shared folder. Files hold ranges of terms, so a search opens those of its terms only; a hot term is split by document."""
+    """Writes the index of df's columns to the shared folder. Files are in the order of terms, so a search reads the row groups of its terms only; a hot term is split by document."""
     spark = df.sparkSession
     key = hashlib.sha256(repr((sorted(df.inputFiles()), df._jdf.queryExecution().analyzed().canonicalized().toString(), id_col, columns)).encode()).hexdigest()[:16]
     known = _indexes.get((spark.sparkContext.applicationId, key))
     if known is None:
-        toks = df.select(F.col(id_col).alias("doc"), *[tokens(c).alias(f"t{k}") for k, c in enumerate(columns)])
+        toks = spread(df.select(id_col, *columns)).select(F.col(id_col).alias("doc"), *[tokens(c).alias(f"t{k}") for k, c in enumerate(columns)])
         d = sum((F.size(f"t{k}") for k in range(len(columns))), F.lit(0)).alias("d")
         words = F.concat(*[placed(f"t{k}", c) for k, c in enumerate(columns)])
         sized = toks.select("doc", d, words.alias("w"))
-        per = sized.select("doc", "d", F.explode("w").alias("w")).groupBy("w.column", "w.term", "doc", "d").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("w.pos")).alias("positions"))
-        ordered = per.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
+        flat = sized.select("doc", "d", F.explode("w").alias("w")).select("doc", "d", "w.column", "w.term", "w.pos")
+        # one shuffle: by term and a part of the documents, which also holds what the grouping needs
+        dealt = flat.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(16))).repartition("term", "part")
+        per = dealt.groupBy("term", "part", "column", "doc", "d").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+        ordered = per.drop("part").sortWithinPartitions("term", "doc")
         known = _indexes[spark.sparkContext.applicationId, key] = Index(cut(ordered, f"{name}-postings"), cut(sized.agg(F.count(F.lit(1)).alias("__n"), F.avg("d").alias("__avg")), f"{name}-totals"))
     return known
 
