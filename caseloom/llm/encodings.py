@@ -29,7 +29,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 from math import exp, log
 
 import numpy as np
@@ -164,6 +163,7 @@ class Model:
         self.log_known: dict[str, float] = {}
         self.news: dict[str, tuple[int, int]] = {}
         self.special: dict[str, tuple[np.ndarray, dict[str, np.ndarray]]] = {}
+        self.known_readings: dict[str, list[tuple[int, float, int, int]]] = {}
 
     def _scored(self, words: list[str], swapped: np.ndarray) -> np.ndarray:
         """By how much each mapping makes each piece likelier: pieces by mappings."""
@@ -223,6 +223,25 @@ class Model:
         self.log_known[w] = score
         return score
 
+    def readings(self, w: str) -> list[tuple[int, float, int, int]]:
+        """Of a piece, for each page under which it holds sequences of UTF-8: the page, the gain of putting them right, how many there are, and how many become strange signs.
+
+        Sequences are signs beyond ASCII before and after, so none reaches beyond its piece and the gain of a text is the sum of its pieces.
+        """
+        if (r := self.known_readings.get(w)) is not None:
+            return r
+        if len(self.known_readings) > 100_000:
+            self.known_readings.clear()
+        r = self.known_readings[w] = []
+        for k in sorted({k for run in RUN.findall(w) for k in utf8_pages(run)}):
+            t, new = from_utf8(w, READ[k])
+            if new:
+                strange = sum(map(self.strange, new))
+                unknown = sum(c not in page_signs() and self.strange(c) for c in new)
+                # signs that no sound text has are no letters of this cipher
+                r.append((k, self.piece(t) - self.piece(w) - 14 * strange, len(new), unknown))
+        return r
+
     def novel(self, w: str) -> tuple[int, int]:
         """How many pairs of a piece no other source has, and how many it has."""
         if (r := self.news.get(w)) is not None:
@@ -349,21 +368,15 @@ def utf8_pages(run: str) -> tuple[int, ...]:
 
 
 def _by_utf8(text: str, model: Model, source: str) -> list[Hypothesis]:
+    found: dict[int, list[float]] = {}  # by page: gain, sequences, those that become signs of no text and no page
+    for w in pieces(text):
+        for k, *r in model.readings(w):
+            found[k] = [x + y for x, y in zip(found[k], r)] if k in found else r
     out: list[Hypothesis] = []
-    now: float | None = None
-    for k in sorted({k for run in RUN.findall(text) for k in utf8_pages(run)}):
-        page = READ[k]
-        # a page under which most of the first sequences become signs that no text and no page has loses 14 nats for each: it can't win
-        first = [c for m in islice(utf8_form(page).finditer(text), 16) if len(c := sequences(page)[m[0]]) == 1]
-        if not first or 2 * sum(c not in page_signs() and model.strange(c) for c in first) > len(first):
-            continue
-        t, new = from_utf8(text, page)
-        if not new:
-            continue
-        if now is None:
-            now = model.text(text)
-        # signs that no sound text has are no letters of this cipher
-        out.append((model.text(t) - now + model.prior(source, f"utf-8>{page}") - 14 * sum(map(model.strange, new)), f"utf-8>{page}", t))
+    for k, (gain, new, unknown) in sorted(found.items()):
+        # not a page under which most sequences of the whole text become signs that no text and no page has: an unseen language would gain by that too
+        if 2 * unknown <= new:
+            out.append((gain + model.prior(source, f"utf-8>{READ[k]}"), f"utf-8>{READ[k]}", from_utf8(text, READ[k])[0]))
     return out
 
 
