@@ -7,8 +7,8 @@ written with a hyphen anyway; a word outside the vocabulary is looked up by inte
 usual confusions of scanners such as rn/m as single edits) with the trie, which finds every candidate; candidates are ranked by the edit, by whether the text around
 uses them, and by frequency. Then furniture is removed and lines are reflowed into paragraphs.
 
-The driver gets words and line forms that make up at least MIN_SHARE of all, so their number is at most 1 / MIN_SHARE. Rarer words stay in a table: a token that looks misread but occurs there oftener than a misreading of the word it was taken for
-would is a word after all.
+The driver gets words and line forms that make up at least MIN_SHARE of all, so their number is at most 1 / MIN_SHARE. Rarer words and compounds stay in a table, whatever the input's size: a token that looks misread but occurs there oftener
+than a misreading of the word it was taken for would is a word after all, and a record with a broken word that such a word or compound may decide is judged with those it holds.
 
 Defined results: null and empty texts have no lines with noise and stay as they are; texts of which more than a tenth of the lines are wider than a page are taken as not scanned;
 form feeds belong to their line; repeated ids count once; texts may have any length; other columns are ignored; empty tables give empty tables.
@@ -47,6 +47,7 @@ DIGITLIKE = re.compile(r"(?=.*\d)[\dOolIS|B]+\Z")
 RARER = (0, 500, 400, 200, 40, 8)  # how many times rarer, by length, a spelling is than the word it was misread from
 EDGE = 4  # lines of a page's edge
 WIDE_LINE = 160
+NO_RARE: dict[str, float] = {}
 
 #: What scanners confuse: read sign(s) to meant sign(s).
 CONFUSED = {
@@ -270,11 +271,13 @@ class Lexicon:
         if low not in self.known_outdone:
             if len(self.known_outdone) > 300_000:
                 self.known_outdone.clear()
-            likely = max((self.vocabulary.get(c, 0) / RARER[min(len(low), 5)] for c in confusions(low)), default=0.0)
-            w = self.meant(low)
-            self.known_outdone[low] = max(likely, self.vocabulary.get(w, 0) / 10 - 1 if w else 0.0)
+            self.known_outdone[low] = max((self.raw.get(c, 0) / RARER[min(len(low), 5)] for c in confusions(low) if c.isalpha()), default=0.0)
         return self.known_outdone[low]
 
+    def is_word(self, low: str, rare: dict[str, float]) -> bool:
+        """Is it in the vocabulary, or one of the rare words that aren't outdone?"""
+        return low in self.vocabulary or ((n := rare.get("w" + low)) is not None and n > self.outdone(low))
+
     def odd_at(self, token: str) -> int:
         """Where a misread token first differs from the word meant."""
         w, low, same = self.meant(token) or "", token.lower(), 0
@@ -336,12 +339,19 @@ LOOKALIKE = {
 }
 
 
-def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = None) -> tuple[list[str], dict[int, set[str]], set[int], set[int]]:
+def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = None, rare: dict[str, float] = NO_RARE, asked: set[str] | None = None) -> tuple[list[str], dict[int, set[str]], set[int], set[int]]:
     """The lines, the kinds of noise by line (from 0), the lines that end inside a word, and those that end after a hyphen which is the word's own.
 
-    tokens_of, if given, gets the misread tokens of each line.
+    tokens_of, if given, gets the misread tokens of each line. rare: words (w), compounds (h) and their first parts (p) that the lexicon is too small for; asked, if
+    given, gets those that would decide about a word broken at a line end.
     """
 
+    def has(kind: str, key: str) -> bool:
+        known = lex.is_word(key, rare) if kind == "w" else key in (lex.compounds if kind == "h" else lex.parts) or kind + key in rare
+        if asked is not None and not known:
+            asked.add(kind + key)
+        return known
+
     def misread(i: int, tokens: list[str]) -> None:
         kinds.setdefault(i, set()).add("misread")
         if tokens_of is not None:
@@ -393,7 +403,7 @@ def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = No
             tail = tail_m.group(1) if tail_m else ""
             stop -= 1
             if nxt is None or not tail:
-                if not (head.lower() in lex.parts and head.lower() in lex.vocabulary):
+                if not all([has("p", head.lower()), has("w", head.lower())]):
                     kinds.setdefault(i, set()).add("hyphen")
                     goes_on.add(i)
             elif tail[0].isdigit() or (tail[0].isupper() and head[-1].islower()):
@@ -407,14 +417,15 @@ def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = No
                     misread(i if lex.odd_at(head + tail) < len(head) else nxt, [(head + tail).lower()])
             else:
                 joined, low = head + tail, (head + tail).lower()
-                if low in lex.vocabulary:
-                    is_break = f"{head}-{tail}".lower() not in lex.compounds or lex.vocabulary[low] > 0 and not (head.lower() in lex.vocabulary and tail.lower() in lex.vocabulary)
-                elif f"{head}-{tail}".lower() in lex.compounds:
+                whole, compound = has("w", low), has("h", f"{head}-{tail}".lower())
+                head_is, tail_is = has("w", head.lower()), has("w", tail.lower())
+                if whole:
+                    is_break = not compound or not (head_is and tail_is)
+                elif compound:
                     is_break = False
                 else:
                     w = lex.meant(joined)
-                    parts = lex.meant(head) is None and lex.meant(tail) is None and head.lower() in lex.vocabulary and tail.lower() in lex.vocabulary
-                    is_break = w is not None or not (parts and w is None)
+                    is_break = w is not None or not (head_is and tail_is)
                     if w is not None and is_break:
                         misread(i if lex.odd_at(joined) < len(head) else nxt, [low])
                 if is_break:
@@ -435,15 +446,15 @@ def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = No
     return lines, kinds, goes_on, own_hyphen
 
 
-def repair(text: str, lex: Lexicon) -> str:
-    """text as continuous paragraphs without furniture, breaks and misread signs."""
+def repair(text: str, lex: Lexicon, rare: dict[str, float] = NO_RARE) -> str:
+    """text as continuous paragraphs without furniture, breaks and misread signs. rare: as in analyse()."""
     if not text or not is_scanned(text):
         return text
-    lines, kinds, goes_on, own_hyphen = analyse(text, lex)
+    lines, kinds, goes_on, own_hyphen = analyse(text, lex, rare=rare)
     around = {w for t in TOKEN.findall(text.lower()) if (w := t) in lex.vocabulary}
 
     def put_right(m: re.Match[str]) -> str:
-        w = lex.in_context(m[0], around)
+        w = None if rare and lex.is_word(m[0].lower(), rare) else lex.in_context(m[0], around)
         return m[0] if w is None else w.capitalize() if m[0][:1].isupper() and not m[0].isupper() else w.upper() if m[0].isupper() and len(m[0]) > 1 else w
 
     paragraphs: list[str] = []
@@ -473,8 +484,8 @@ def repair(text: str, lex: Lexicon) -> str:
     return "\n\n".join(TOKEN.sub(put_right, p) for p in paragraphs)
 
 
-def counted(texts: DataFrame) -> tuple[Lexicon, DataFrame | None]:
-    """The lexicon of all texts (a column text), and the words (column word) that are too rare for it but occur MIN_COUNT times and more: None if there are none by the counts.
+def counted(texts: DataFrame) -> tuple[Lexicon, DataFrame]:
+    """The lexicon of all texts (a column text), and what is too rare for it but occurs MIN_COUNT times and more: words (key w...), compounds (h...) and their first parts (p...).
 
     The lexicon holds what makes up MIN_SHARE of the corpus or more. The rarer words, whose number grows with the corpus, stay in a table.
     """
@@ -496,9 +507,20 @@ def counted(texts: DataFrame) -> tuple[Lexicon, DataFrame | None]:
     table = cut(texts.mapInArrow(scan, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "scans-counts")
     total = table.filter("key = 'n'").select(F.sum("n")).first()[0] or 0
     least = max(MIN_COUNT, int(total * MIN_SHARE))
-    counts = {r["key"]: r["n"] for r in table.filter(((F.col("n") >= least) & (F.col("key") != "n")) | (F.col("key") == "p")).collect()}
-    rare = table.filter(F.col("key").startswith("w") & (F.col("n") >= MIN_COUNT) & (F.col("n") < least)).select(F.substring("key", 2, 1000).alias("word"), F.col("n").cast("double").alias("n"))
-    return Lexicon(counts), rare if least > MIN_COUNT else None
+    word, scanned = ~F.col("key").startswith("f") & ~F.col("key").isin("n", "p"), table.filter("key = 'p'").select(F.sum("n")).first()[0] or 0
+    # forms have a floor of their own: a share of the scanned texts
+    edge = table.filter(F.col("key").startswith("fe") & (F.col("n") >= max(4, FORM_SHARE * scanned)))
+    elsewhere = table.join(edge.select(F.concat(F.lit("fa"), F.substring("key", 3, 1000)).alias("key")), "key", "left_semi")
+    counts = {r["key"]: r["n"] for r in table.filter(word & (F.col("n") >= least)).unionByName(edge).unionByName(elsewhere).collect()} | {"p": scanned}
+    rare = table.filter((F.col("n") >= MIN_COUNT) & (F.col("n") < least) & F.col("key").rlike(r"^(w\p{L}+|h.*)$")).select("key", F.col("n").cast("double").alias("n"))
+    parts = rare.filter(F.col("key").startswith("h")).groupBy(F.concat(F.lit("p"), F.split_part(F.substring("key", 2, 1000), F.lit("-"), F.lit(1))).alias("key")).agg(F.max("n").alias("n"))
+    return Lexicon(counts), cut(rare.unionByName(parts), "scans-rare")
+
+
+def known_rare(asked: DataFrame, rare: DataFrame) -> DataFrame:
+    """(tab, rec_id, rare): of the keys that each record asked for (column key), those of the table of rare ones, as a map; records without any are left out."""
+    hit = asked.join(rare, "key").groupBy("tab", "rec_id").agg(F.map_from_entries(F.collect_set(F.struct("key", "n"))).alias("rare"))
+    return cut(hit, "scans-asked")
 
 
 def all_texts(ocr_results: DataFrame, text_cache: DataFrame) -> DataFrame:
@@ -512,26 +534,30 @@ def found(ocr_results: DataFrame, text_cache: DataFrame) -> DataFrame:
     texts = all_texts(ocr_results, text_cache)
     lex_, rare = counted(texts)
     shared = texts.sparkSession.sparkContext.broadcast(lex_)
-    whole = rare is not None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for b in batches:
             at, no, kind, tokens = [], [], [], []
+            known = b.column("rare").to_pylist() if "rare" in b.schema.names else None
             for row, t in enumerate(b.column("text").to_pylist()):
-                of: dict[int, list[str]] | None = {} if whole else None
-                for i, ks in analyse(t, lex, of)[1].items():
+                of: dict[int, list[str]] = {}
+                asked: set[str] | None = set() if known is None else None
+                for i, ks in analyse(t, lex, of, dict(known[row]) if known else NO_RARE, asked)[1].items():
                     for k in ks:
-                        at.append(row), no.append(i + 1), kind.append(k), tokens.append([{"word": w, "most": lex.outdone(w)} for w in of.get(i, ())] if of and k == "misread" else None)
+                        at.append(row), no.append(i + 1), kind.append(k), tokens.append([{"key": "w" + w, "most": lex.outdone(w)} for w in of.get(i, ())] if k == "misread" else None)
+                if asked:
+                    at.append(row), no.append(0), kind.append("asked"), tokens.append([{"key": k, "most": 0.0} for k in asked])
             rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("tab").take(rows), b.column("rec_id").take(rows), pa.array(no, pa.int64()), pa.array(kind, pa.string()), pa.array(tokens, pa.list_(pa.struct([("word", pa.string()), ("most", pa.float64())])))], names=["tab", "rec_id", "line_no", "kind", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("tab").take(rows), b.column("rec_id").take(rows), pa.array(no, pa.int64()), pa.array(kind, pa.string()), pa.array(tokens, pa.list_(pa.struct([("key", pa.string()), ("most", pa.float64())])))], names=["tab", "rec_id", "line_no", "kind", "tokens"])
 
-    lines = texts.mapInArrow(scan, "tab string, rec_id bigint, line_no bigint, kind string, tokens array<struct<word:string,most:double>>")
+    schema = "tab string, rec_id bigint, line_no bigint, kind string, tokens array<struct<key:string,most:double>>"
     cols = ["tab", "rec_id", "line_no", "kind"]
-    if rare is None:
-        return lines.select(*cols)
-    lines = cut(lines, "scans-lines")
-    seen = lines.filter("kind = 'misread'").select(*cols, F.explode("tokens").alias("t")).select(*cols, "t.word", "t.most").join(rare, "word", "left")
+    first = cut(texts.mapInArrow(scan, schema), "scans-lines")
+    known = known_rare(first.filter("kind = 'asked'").select("tab", "rec_id", F.explode("tokens.key").alias("key")), rare)
+    again = cut(texts.join(known, ["tab", "rec_id"]).mapInArrow(scan, schema), "scans-lines-again")
+    lines = first.filter("kind <> 'asked'").join(known.select("tab", "rec_id"), ["tab", "rec_id"], "left_anti").unionByName(again)
+    seen = lines.filter("kind = 'misread'").select(*cols, F.explode("tokens").alias("t")).select(*cols, "t.key", "t.most").join(rare, "key", "left")
     wrong = seen.filter(F.col("n").isNull() | (F.col("n") <= F.col("most"))).select(*cols).distinct()
     return lines.filter("kind <> 'misread'").select(*cols).unionByName(wrong)
 
@@ -539,12 +565,28 @@ def found(ocr_results: DataFrame, text_cache: DataFrame) -> DataFrame:
 def repaired(ocr_results: DataFrame, text_cache: DataFrame) -> DataFrame:
     """(tab, rec_id, text) of every row, repaired; null and empty texts as they are."""
     texts = all_texts(ocr_results, text_cache)
-    shared = texts.sparkSession.sparkContext.broadcast(counted(texts)[0])
+    lex_, rare = counted(texts)
+    shared = texts.sparkSession.sparkContext.broadcast(lex_)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        for b in batches:
+            at, keys = [], []
+            for row, t in enumerate(b.column("text").to_pylist()):
+                asked: set[str] = set()
+                if is_scanned(t):
+                    analyse(t, lex, asked=asked)
+                    asked.update("w" + x.lower() for x in set(TOKEN.findall(t)) if lex.meant(x) is not None)
+                at += [row] * len(asked)
+                keys += asked
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("tab").take(rows), b.column("rec_id").take(rows), pa.array(keys, pa.string())], names=["tab", "rec_id", "key"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for b in batches:
-            out = [repair(t, lex) for t in b.column("text").to_pylist()]
+            out = [repair(t, lex, dict(r) if r else NO_RARE) for t, r in zip(b.column("text").to_pylist(), b.column("rare").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("rec_id"), pa.array(out, pa.string())], names=["tab", "rec_id", "text"])
 
-    return texts.mapInArrow(scan, "tab string, rec_id bigint, text string")
+    known = known_rare(texts.mapInArrow(ask, "tab string, rec_id bigint, key string"), rare)
+    return texts.join(known, ["tab", "rec_id"], "left").mapInArrow(scan, "tab string, rec_id bigint, text string")
