@@ -43,6 +43,7 @@ C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 EMPTY = 1 << 31  # info: the size from bit 32, this bit, the family's number from bit 24, the group
 TRIPLES_UP_TO = 24  # words of a set up to which triples are used
 COMMON_SHARE = 1e-3
+SHARED_BITS = 1 << 23  # a table of bits for the words that more than one record holds; where two words meet, a key too many is made, none is lost
 ODD = np.array([0, 1, 1, 0], dtype=bool)  # parity of a two-bit product
 
 
@@ -240,26 +241,35 @@ def by_rare_words(texts: DataFrame, t: Fraction) -> DataFrame:
     total = counted.filter("word is null").agg(F.sum("n")).first()[0] or 0
     # words of a share of COMMON_SHARE and more: at most the mean size of a set, divided by it; others are in the order of their hashes
     common = {r["word"]: r["n"] for r in counted.filter(F.col("word").isNotNull() & (F.col("n") > COMMON_SHARE * total)).collect()}
-    shared = texts.sparkSession.sparkContext.broadcast(common)
+    # a word of one record only is shared with no other
+    at = F.col("word").bitwiseAND(SHARED_BITS - 1)
+    blocks = counted.filter("word is not null and n > 1").groupBy(F.shiftright(at, 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(word & 63 as int))")).alias("bits")).collect()  # SHARED_BITS / 64 rows at most
+    bits = np.zeros(SHARED_BITS >> 6, np.int64)
+    for r in blocks:
+        bits[r["block"]] = r["bits"]
+    shared = texts.sparkSession.sparkContext.broadcast((common, bits))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        common, bits = shared.value
         for b in batches:
             flat, sizes = _sets(b.column("text").to_pylist(), hashes)
+            several = (bits[(flat & np.uint64(SHARED_BITS - 1)) >> np.uint64(6)].view(np.uint64) >> (flat & np.uint64(63)) & np.uint64(1)).astype(bool)
             key, own, sketch, info = [], [], [], []
             start = 0
             for i, n in zip(b.column("id").to_pylist(), sizes.tolist()):
                 words = flat[start : start + n]
+                alone = set(words[~several[start : start + n]].view(np.int64).tolist())
                 start += n
                 if not n:
                     continue
                 # how many words must be shared is a matter of the larger of the two sets, so one record may need several kinds of keys
                 kinds = {shared_words(max(n, m), t) for m in range(-(-n * t.numerator // t.denominator), n * t.denominator // t.numerator + 1)}
-                order = sorted(words.view(np.int64).tolist(), key=lambda w: (shared.value.get(w, 0), w))
+                order = sorted(words.view(np.int64).tolist(), key=lambda w: (common.get(w, 0), w))
                 s = np.bitwise_xor.reduce(np.uint64(1) << (words & np.uint64(63))).view(np.int64)
                 least = -(-n * t.numerator // t.denominator)
                 for k in kinds:
-                    first = order[: n - least + k]
+                    first = [w for w in order[: n - least + k] if w not in alone]
                     made = {hash((k, *x)) for x in combinations(sorted(first), k)}
                     key += made
                     own += [i] * len(made)

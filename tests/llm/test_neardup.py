@@ -67,3 +67,16 @@ def test_families_cover():
             for _ in range(r):
                 hit[rng.randrange(groups)] += 1
             assert sum(h <= 1 for h in hit) >= 2
+
+
+def test_words_of_one_record_make_no_keys(spark):
+    """Keys of rare words: a word that no other record has can't be shared; pairs that are alike share keys all the same."""
+    from fractions import Fraction
+
+    from caseloom.llm import neardup
+
+    same = " ".join(f"common{k}" for k in range(12))
+    rows = [(1, same + " left"), (2, same + " right"), (3, " ".join(f"lonely{k}" for k in range(13)))]
+    keys = neardup.by_rare_words(spark.createDataFrame(rows, "id long, text string"), Fraction(3, 4)).collect()
+    of = {i: {r["key"] for r in keys if r["id"] == i} for i in (1, 2, 3)}
+    assert not of[3] and of[1] & of[2]
