@@ -130,41 +130,59 @@ def betweenness(edges: DataFrame, max_edges: int = MAX_EDGES, sources: int | Non
     n = len(names)
     ends = np.array([(at[r["a"]], at[r["b"]]) for r in rows], np.int64).reshape(-1, 2)
     heads, tails = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
-    first = np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=n))])
+    degree = np.bincount(heads, minlength=n)
+    first = np.concatenate([[0], np.cumsum(degree)]).astype(np.int64)
+    near = tails[np.argsort(heads, kind="stable")]
     spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast((first, tails[np.argsort(heads, kind="stable")]))
+    if sources is None or sources >= n:
+        # the paths from a leaf are those from its neighbour and one step more: it needs no search of its own
+        leaf = (degree == 1) & (degree[near[np.minimum(first[:-1], max(0, len(near) - 1))]] > 1) if n else np.zeros(0, bool)
+        begin, share = np.flatnonzero(~leaf), 1.0
+        leaves = np.bincount(near[first[:-1][leaf]], minlength=n)
+    else:
+        begin, share = np.array(random.Random(7).sample(range(n), sources), np.int64), sources / n
+        leaves = np.zeros(n, np.int64)
+    shared = spark.sparkContext.broadcast((first, near.astype(np.int32), begin, leaves))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, near = shared.value
+        first, near, begin, leaves = shared.value
         degree, total = np.diff(first), np.zeros(n)
         for batch in batches:
-            for s in batch.column("id").to_pylist():
-                paths, dist, steps = np.zeros(n), np.full(n, -1), []
-                paths[s], dist[s] = 1.0, 0
+            for s in begin[batch.column("id").to_numpy()].tolist():
+                paths, seen, steps = np.zeros(n), np.zeros(n, bool), []
+                paths[s], seen[s] = 1.0, True
                 layer = np.array([s])
-                while len(layer):  # the edges from each layer of the breadth-first search to the next
+                while True:  # the edges from each layer of the breadth-first search to the next
                     k = degree[layer]
-                    v = np.repeat(layer, k)
-                    w = near[np.arange(len(v)) + np.repeat(first[layer] - np.cumsum(k) + k, k)]
-                    dist[w[dist[w] < 0]] = len(steps) + 1
-                    on = dist[w] == len(steps) + 1
-                    v, w = v[on], w[on]
-                    layer, back = np.unique(w, return_inverse=True)
-                    paths[layer] = np.bincount(back, paths[v], len(layer))
-                    steps.append((v, w))
-                part = np.zeros(n)
-                for v, w in reversed(steps):
-                    np.add.at(part, v, paths[v] / paths[w] * (1 + part[w]))
+                    w = near[np.arange(k.sum()) + np.repeat(first[layer] - np.cumsum(k) + k, k)]
+                    on = ~seen[w]
+                    v, w = np.repeat(layer, k)[on], w[on]
+                    if not len(w):
+                        break
+                    if 8 * len(w) < n:
+                        layer, back = np.unique(w, return_inverse=True)
+                        paths[layer] = np.bincount(back, paths[v], len(layer))
+                    else:
+                        count = np.bincount(w, paths[v], n)
+                        layer = np.flatnonzero(count)
+                        paths[layer] = count[layer]
+                    seen[layer] = True
+                    steps.append((v, w, layer))
+                part, each = np.zeros(n), np.zeros(n)
+                for v, w, layer in reversed(steps):
+                    each[layer] = (1 + part[layer]) / paths[layer]
+                    if 8 * len(w) < n:
+                        at, back = np.unique(v, return_inverse=True)
+                        part[at] = paths[at] * np.bincount(back, each[w], len(at))
+                    else:
+                        part += paths * np.bincount(v, each[w], n)
                 part[s] = 0.0
-                total += part
+                total += part * (1 + leaves[s])
+                total[s] += leaves[s] * (int(seen.sum()) - 2)
         yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(total, pa.float64())], names=["k", "x"])
 
-    parts = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    if sources is None or sources >= n:
-        begin, share = spark.range(0, n, 1, parts), 1.0
-    else:
-        begin, share = spark.createDataFrame([(k,) for k in random.Random(7).sample(range(n), sources)], "id bigint").repartition(parts), sources / n
-    sums = begin.mapInArrow(scan, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x"))
+    parts = max(1, min(len(begin), 4 * spark.sparkContext.defaultParallelism))
+    sums = spark.range(0, len(begin), 1, parts).mapInArrow(scan, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x"))
     table = spark.createDataFrame([(k, str(x)) for k, x in enumerate(names)], "k bigint, node string")
     scale = 1.0 / ((n - 1) * (n - 2) * share) if n > 2 else 0.0
     return table.join(sums, "k").select("node", r6(F.col("x") * scale).alias("betweenness"))

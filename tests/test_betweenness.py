@@ -70,3 +70,18 @@ def test_sampled_sources(spark):
     assert {r["node"]: r["betweenness"] for r in graph.betweenness(edges, sources=1000).collect()} == exact
     part = {r["node"]: r["betweenness"] for r in graph.betweenness(edges, sources=20).collect()}
     assert part.keys() == exact.keys() and abs(sum(part.values()) - sum(exact.values())) < 0.3 * sum(exact.values())
+
+
+def test_leaves_are_no_sources(spark, monkeypatch):
+    """Trees hung on a graph, stars and lone edges: no search from a leaf, the same values."""
+    from caseloom.operators import graph
+
+    rng = random.Random(6)
+    edges = {tuple(sorted(rng.sample("abcdefgh", 2))) for _ in range(14)} | {("a", "p"), ("a", "q"), ("q", "r"), ("b", "s"), ("y", "z"), ("u", "v"), ("u", "w"), ("u", "x")}
+    started = []
+    ranged = type(spark).range
+    monkeypatch.setattr(type(spark), "range", lambda self, *a: started.append(a[1]) or ranged(self, *a))
+    found = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(sorted(edges), "a string, b string")).collect()}
+    want = by_paths(edges)
+    assert found.keys() == want.keys() and all(abs(found[v] - want[v]) < 1e-6 for v in want)
+    assert started == [len(want) - 6]  # p, r, s, and three of the star; y and z are each other's neighbour
