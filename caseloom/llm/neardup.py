@@ -5,7 +5,8 @@ r = (|A| + |B|)(1 - t)/(1 + t) words, a Hamming radius. A family for radius r ha
 the three non-zero masks of two bits: every word has a group and a two-bit code that isn't zero, and mask v keeps the words whose code
 has an odd product with it. If at most one word of a group differs, one of its masks keeps none of the differing words, and the masked
 sets are equal. As r differing words spoil at most r/2 groups by two or more each, every pair within the radius collides in at least two
-groups of G: not a single pair is lost, whatever the data.
+groups of G: not a single pair is lost, whatever the data. A record whose size allows only s < r differing words is hashed in the first s/2 + 2 groups
+alone: its pairs spoil at most s/2 of those.
 
 Large buckets (above `bucket_cap`, from masks that kept only words everybody uses) aren't compared inside, nor are masks that kept no word,
 whose key says nothing: those rows are spread by record, not by key. A pair that collides only there does so in two groups, so the members are hashed again by
@@ -44,6 +45,7 @@ EMPTY = 1 << 31  # info: the size from bit 32, this bit, the family's number fro
 TRIPLES_UP_TO = 24  # words of a set up to which triples are used
 COMMON_SHARE = 1e-3
 SHARED_BITS = 1 << 23  # a table of bits for the words that more than one record holds; where two words meet, a key too many is made, none is lost
+ID_BITS = 27  # a table of bits for ids has 2^27 of them at most: 16 MB
 ODD = np.array([0, 1, 1, 0], dtype=bool)  # parity of a two-bit product
 
 
@@ -84,6 +86,11 @@ def families(n: int, largest: int, t: Fraction) -> list[int]:
     return [2**k - 1 for k in range(first, last + 1)]
 
 
+def groups_of(n: int, r: int, largest: int, t: Fraction) -> int:
+    """In how many of the first groups of a family a set of n words is hashed: its pairs differ in so few words that two of those are left."""
+    return min(r, radius(n + min(n * t.denominator // t.numerator, largest), t)) // 2 + 2
+
+
 def texts_of(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(" ", *text_cols).alias("text"))
 
@@ -104,6 +111,27 @@ def fingerprints(texts: DataFrame, min_words: int) -> DataFrame:
     return texts.mapInArrow(scan, "id bigint, h1 bigint, h2 bigint, n bigint")
 
 
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is in ids (a stored table, column id), and few others: looked up in a table of bits, for which df isn't shuffled.
+
+    The table has 16 bits or more for each id, up to 2^ID_BITS; where two ids meet, a row too many is kept, none is lost.
+    """
+    size = min(ID_BITS, max(16, (16 * ids.count()).bit_length()))
+    at = F.shiftrightunsigned(F.xxhash64("id"), 64 - size)
+    blocks = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << size - 6, np.int64)
+    bits[blocks.column("block").to_numpy()] = blocks.column("bits").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value.view(np.uint64)
+        for b in batches:
+            at = b.column("at").to_numpy()
+            yield b.drop_columns(["at"]).filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return df.withColumn("at", at).mapInArrow(scan, df.schema)
+
+
 def keys_of(texts: DataFrame, min_words: int, largest: int, t: Fraction) -> DataFrame:
     """(key, id, sketch, info): each record under every mask of its families. info packs the set's size, whether the mask kept nothing, family and group."""
 
@@ -115,12 +143,14 @@ def keys_of(texts: DataFrame, min_words: int, largest: int, t: Fraction) -> Data
             for r in sorted({r for n in set(sizes.tolist()) if n >= min_words for r in families(n, largest, t)}):
                 fits = np.array([n >= min_words and r in families(n, largest, t) for n in sizes.tolist()], dtype=bool)
                 words, n, own = flat[np.repeat(fits, sizes)], sizes[fits], ids[fits]
+                upto = np.array([groups_of(x, r, largest, t) for x in n.tolist()])
                 sketch = _reduce(np.bitwise_xor, np.uint64(1) << (words & np.uint64(63)), n).view(np.int64)
                 groups = (r + 1) // 2 + 1
                 group = ((words >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
                 code = (1 + (words >> np.uint64(8)) % np.uint64(3)).astype(np.int64)
-                for g in range(groups):
+                for g in range(upto.max()):
                     mine = group == g
+                    here = upto > g
                     for v in (1, 2, 3):
                         through = mine & ODD[code & v]
                         kept = _reduce(np.add, np.where(through, words, np.uint64(0)), n)
@@ -128,7 +158,7 @@ def keys_of(texts: DataFrame, min_words: int, largest: int, t: Fraction) -> Data
                         slot = np.uint64(((r << 32) + g * 4 + v) * int(C1) & (2**64 - 1))
                         key = (kept ^ (kept >> np.uint64(31))) * C2 + slot
                         info = (n << 32) + nothing * EMPTY + (int(r).bit_length() << 24) + g
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(sketch), pa.array(info)], names=["key", "id", "sketch", "info"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x[here]) for x in (key.view(np.int64), own, sketch, info)], names=["key", "id", "sketch", "info"])
 
     return texts.mapInArrow(scan, "key bigint, id bigint, sketch bigint, info bigint")
 
@@ -222,8 +252,8 @@ def shared_words(n: int, t: Fraction) -> int:
     return min(3 if n <= TRIPLES_UP_TO else 2, -(-n * t.numerator // t.denominator))
 
 
-def by_rare_words(texts: DataFrame, t: Fraction) -> DataFrame:
-    """(key, id, sketch, info): each record under every triple (pair, for longer sets) of its first words in the order of rising frequency."""
+def by_rare_words(texts: DataFrame, t: Fraction, min_words: int = 1) -> DataFrame:
+    """(key, id, sketch, info): each record of min_words or more under every triple (pair, for longer sets) of its first words in the order of rising frequency."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, n = _Hashes(), Counter(), 0
@@ -261,7 +291,7 @@ def by_rare_words(texts: DataFrame, t: Fraction) -> DataFrame:
                 words = flat[start : start + n]
                 alone = set(words[~several[start : start + n]].view(np.int64).tolist())
                 start += n
-                if not n:
+                if n < max(1, min_words):
                     continue
                 # how many words must be shared is a matter of the larger of the two sets, so one record may need several kinds of keys
                 kinds = {shared_words(max(n, m), t) for m in range(-(-n * t.numerator // t.denominator), n * t.denominator // t.numerator + 1)}
@@ -294,8 +324,8 @@ def candidates(texts: DataFrame, min_words: int, largest: int, t: Fraction, cap:
     again = per_record.select(F.expr(f"explode({both})").alias("key"), F.col("a").alias("id"), "sketch", "info")
     two = cut(compare(again, cap, t), "neardup-buckets2")
     bare = per_record.filter("exists(ks, x -> x.e and exists(ks, y -> y.e and y.k = x.k and y.g > x.g))").select("a")
-    rest = cut(two.filter("b is null").select("a").union(bare).distinct(), "neardup-rest")
-    three = cut(compare(by_rare_words(texts.join(rest.withColumnRenamed("a", "id"), "id", "left_semi"), t), cap, t), "neardup-buckets3")
+    rest = cut(two.filter("b is null").select("a").union(bare).distinct().withColumnRenamed("a", "id"), "neardup-rest")
+    three = cut(compare(by_rare_words(only(texts, rest), t, min_words), cap, t), "neardup-buckets3")
     left = three.filter("b is null").select("key", "a", "sketch", "info")
     x, y = left.alias("x"), left.alias("y")
     limit = ((F.shiftright(F.col("x.info"), 32) + F.shiftright(F.col("y.info"), 32)) * (t.denominator - t.numerator) / (t.denominator + t.numerator)).cast("double")
@@ -305,7 +335,7 @@ def candidates(texts: DataFrame, min_words: int, largest: int, t: Fraction, cap:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, min_words: int, t: Fraction) -> DataFrame:
-    """The pairs whose word sets are alike by at least t."""
+    """The pairs (a stored table) whose word sets have min_words or more and are alike by at least t."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -314,9 +344,9 @@ def verified(pairs: DataFrame, texts: DataFrame, min_words: int, t: Fraction) ->
             low = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
             ends = np.cumsum(sizes) * 4
             words = [low[e - 4 * s : e] for e, s in zip(ends.tolist(), sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(words, pa.binary())], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(words, pa.binary())], names=["id", "words"]).filter(pa.array(sizes >= min_words))
 
-    sets = texts.mapInArrow(scan, "id bigint, words binary")
+    sets = only(texts, pairs.select(F.explode(F.array("a", "b")).alias("id"))).mapInArrow(scan, "id bigint, words binary")
     with_a = pairs.join(sets.withColumnsRenamed({"id": "a", "words": "wa"}), "a")
     with_b = with_a.join(sets.withColumnsRenamed({"id": "b", "words": "wb"}), "b").select("a", "b", "wa", "wb")
 

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom.llm import neardup
 
@@ -80,3 +81,39 @@ def test_words_of_one_record_make_no_keys(spark):
     keys = neardup.by_rare_words(spark.createDataFrame(rows, "id long, text string"), Fraction(3, 4)).collect()
     of = {i: {r["key"] for r in keys if r["id"] == i} for i in (1, 2, 3)}
     assert not of[3] and of[1] & of[2]
+
+
+def test_sets_are_hashed_in_no_more_groups_than_their_size_asks_for(spark):
+    """Sets of 41 words differ from their partners in 13 words at most: 8 of the 9 groups of radius 15. With none left out, every pair shares two groups or more."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        words = [f"k{k}w{j}" for j in range(41)]
+        rows.append((2 * k, " ".join(words)))
+        for j in rng.sample(range(41), 5):
+            words[j] = f"other{k}w{j}"
+        rows.append((2 * k + 1, " ".join(words)))
+    keys = neardup.keys_of(spark.createDataFrame(rows, "id long, text string"), 8, 54, T).collect()
+    of = {i: {(r["info"] & 0xFFFF, r["key"]) for r in keys if r["id"] == i and not r["info"] & neardup.EMPTY} for i, _ in rows}
+    assert sum(r["id"] == 0 for r in keys) == 3 * 8
+    for k in range(40):
+        shared = {g for g, _ in of[2 * k] & of[2 * k + 1]}
+        empty = [{r["info"] & 0xFFFF for r in keys if r["id"] == i and r["info"] & neardup.EMPTY} for i in (2 * k, 2 * k + 1)]
+        assert len(shared | (empty[0] & empty[1])) >= 2
+
+
+def test_only_keeps_all_wanted_rows_and_few_others(spark):
+    df = spark.range(50_000).select("id", F.lit("text").alias("text"))
+    wanted = spark.range(0, 50_000, 50)
+    got = [r["id"] for r in neardup.only(df, wanted).collect()]
+    assert len(got) == len(set(got)) and set(got) >= set(range(0, 50_000, 50)) and len(got) < 1_000 + 5_000
+    assert neardup.only(df, wanted.limit(0)).count() == 0
+
+
+def test_short_sets_that_pass_the_table_of_bits_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "only", lambda df, ids: df)  # as if every look-up met another id
+    rows = corpus(150, 3, vocabulary=24) + [(1000, "two words", None, None, None), (1001, "words two", "", None, None), (1002, "words, two", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = spark.createDataFrame([(1000, 1001)], "a long, b long")
+    assert neardup.verified(pairs, neardup.texts_of(df, "id", ["fact_summary", "source_quote"]), 8, T).count() == 0
+    assert {(r["id_a"], r["id_b"]) for r in neardup.found(df, "id", ["fact_summary", "source_quote"]).collect()} == brute(rows)
