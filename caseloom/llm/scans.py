@@ -148,10 +148,26 @@ class _Wrong(dict):
     def __missing__(self, token: str) -> bool:
         if len(self) > 300_000:
             self.clear()
+            self.lex.fine.clear()
         w = self[token] = any(self.lex.meant(t) is not None for t in TOKEN.findall(token))
+        if not w:
+            self.lex.fine.add(token)
         return w
 
 
+class _RightForms(dict):
+    """The form of a run of signs between blanks, misread words put right. Remembered."""
+
+    def __init__(self, lex: Lexicon) -> None:
+        self.lex = lex
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        f = self[token] = form(token if CODE.fullmatch(token) else TOKEN.sub(lambda m: (w.capitalize() if m[0][0].isupper() else w) if (w := self.lex.meant(m[0])) else m[0], token))
+        return f
+
+
 class Lexicon:
     """Vocabulary, its trie, compounds, and forms of furniture."""
 
@@ -181,6 +197,8 @@ class Lexicon:
         self.known: dict[str, str | None] = {}
         self.known_outdone: dict[str, float] = {}
         self.wrong = _Wrong(self)
+        self.right_forms = _RightForms(self)
+        self.fine: set[str] = set()  # of the runs of signs in wrong, those without a misread word
 
     def candidates(self, word: str, edits: int) -> dict[str, int]:
         """All vocabulary words within so many edits: the automaton of word run along the trie. Values are the edits used."""
@@ -313,9 +331,8 @@ class Lexicon:
                 return False
             if f[0] not in self.furniture and f[1] not in self.furniture:
                 # perhaps misread
-                t = [x if CODE.fullmatch(x) else TOKEN.sub(lambda m: (w.capitalize() if m[0][0].isupper() else w) if (w := self.meant(m[0])) else m[0], x) for x in part.split()]
-                f = line_forms(" ".join(t))
-                if f is None or (f[0] not in self.furniture and f[1] not in self.furniture):
+                t, put_right = part.split(), self.right_forms
+                if f"S {put_right[t[0]]} {put_right[t[1]]}" not in self.furniture and f"E {put_right[t[-2]]} {put_right[t[-1]]}" not in self.furniture:
                     return False
             some = True
         return some
@@ -339,18 +356,23 @@ LOOKALIKE = {
 }
 
 
-def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = None, rare: dict[str, float] = NO_RARE, asked: set[str] | None = None) -> tuple[list[str], dict[int, set[str]], set[int], set[int]]:
+def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = None, rare: dict[str, float] = NO_RARE, asked: dict[str, bool] | None = None) -> tuple[list[str], dict[int, set[str]], set[int], set[int]]:
     """The lines, the kinds of noise by line (from 0), the lines that end inside a word, and those that end after a hyphen which is the word's own.
 
     tokens_of, if given, gets the misread tokens of each line. rare: words (w), compounds (h) and their first parts (p) that the lexicon is too small for; asked, if
-    given, gets those that would decide about a word broken at a line end.
+    given, gets those that have a say about a word broken at a line end: True for those without one of which nothing changes, False for others that count then.
     """
 
     def has(kind: str, key: str) -> bool:
-        known = lex.is_word(key, rare) if kind == "w" else key in (lex.compounds if kind == "h" else lex.parts) or kind + key in rare
-        if asked is not None and not known:
-            asked.add(kind + key)
-        return known
+        return lex.is_word(key, rare) if kind == "w" else key in (lex.compounds if kind == "h" else lex.parts) or kind + key in rare
+
+    def ask(deciding: list[tuple[str, bool]], further: list[tuple[str, bool]]) -> None:
+        """Of keys and whether they are known, the unknown ones; a known one stays so whatever is rare."""
+        if asked is not None and (d := [k for k, known in deciding if not known]):
+            asked.update(dict.fromkeys(d, True))
+            for k, known in further:
+                if not known:
+                    asked.setdefault(k, False)
 
     def misread(i: int, tokens: list[str]) -> None:
         kinds.setdefault(i, set()).add("misread")
@@ -388,7 +410,7 @@ def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = No
     body = [i for i in filled if i not in furniture]
     goes_on: set[int] = set()
     own_hyphen: set[int] = set()
-    wrong = lex.wrong
+    wrong, fine = lex.wrong, lex.fine
     skip_first = False
     for k, i in enumerate(body):
         line = lines[i]
@@ -403,7 +425,10 @@ def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = No
             tail = tail_m.group(1) if tail_m else ""
             stop -= 1
             if nxt is None or not tail:
-                if not all([has("p", head.lower()), has("w", head.lower())]):
+                is_part, head_is = has("p", head.lower()), has("w", head.lower())
+                if not (is_part and head_is):
+                    first, second = ("p" + head.lower(), is_part), ("w" + head.lower(), head_is)
+                    ask(*([first], [second]) if not is_part else ([second], []))  # both are needed
                     kinds.setdefault(i, set()).add("hyphen")
                     goes_on.add(i)
             elif tail[0].isdigit() or (tail[0].isupper() and head[-1].islower()):
@@ -419,13 +444,18 @@ def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = No
                 joined, low = head + tail, (head + tail).lower()
                 whole, compound = has("w", low), has("h", f"{head}-{tail}".lower())
                 head_is, tail_is = has("w", head.lower()), has("w", tail.lower())
+                of_whole, of_compound, halves = ("w" + low, whole), (f"h{head}-{tail}".lower(), compound), [("w" + head.lower(), head_is), ("w" + tail.lower(), tail_is)]
+                half = [h for h in halves if not h[1]][:1]  # both halves must be words, so one that isn't decides
                 if whole:
                     is_break = not compound or not (head_is and tail_is)
+                    ask([of_compound], halves) if not compound else ask(half, halves)
                 elif compound:
                     is_break = False
+                    ask([of_whole], halves)
                 else:
                     w = lex.meant(joined)
                     is_break = w is not None or not (head_is and tail_is)
+                    ask([of_compound, *([of_whole] if w is not None or not half else half)], [of_whole, *halves])
                     if w is not None and is_break:
                         misread(i if lex.odd_at(joined) < len(head) else nxt, [low])
                 if is_break:
@@ -435,7 +465,10 @@ def analyse(text: str, lex: Lexicon, tokens_of: dict[int, list[str]] | None = No
                 else:
                     stop += 1
                     own_hyphen.add(i)
-        for t in tokens[start:stop]:
+        inside = tokens[start:stop]
+        if fine.issuperset(inside):
+            continue
+        for t in inside:
             if not wrong[t]:
                 continue
             if k == 0 and t is tokens[0] and t[0].islower() and t.rstrip(".,;:").isalpha():
@@ -518,9 +551,9 @@ def counted(texts: DataFrame) -> tuple[Lexicon, DataFrame]:
 
 
 def known_rare(asked: DataFrame, rare: DataFrame) -> DataFrame:
-    """(tab, rec_id, rare): of the keys that each record asked for (column key), those of the table of rare ones, as a map; records without any are left out."""
-    hit = asked.join(rare, "key").groupBy("tab", "rec_id").agg(F.map_from_entries(F.collect_set(F.struct("key", "n"))).alias("rare"))
-    return cut(hit, "scans-asked")
+    """(tab, rec_id, rare): of the keys that each record asked for (column key), those of the table of rare ones, as a map; records without any that decides are left out."""
+    hit = asked.join(rare, "key").groupBy("tab", "rec_id").agg(F.map_from_entries(F.collect_set(F.struct("key", "n"))).alias("rare"), F.max("decides").alias("decides"))
+    return cut(hit.filter("decides").drop("decides"), "scans-asked")
 
 
 def all_texts(ocr_results: DataFrame, text_cache: DataFrame) -> DataFrame:
@@ -542,19 +575,19 @@ def found(ocr_results: DataFrame, text_cache: DataFrame) -> DataFrame:
             known = b.column("rare").to_pylist() if "rare" in b.schema.names else None
             for row, t in enumerate(b.column("text").to_pylist()):
                 of: dict[int, list[str]] = {}
-                asked: set[str] | None = set() if known is None else None
+                asked: dict[str, bool] | None = {} if known is None else None
                 for i, ks in analyse(t, lex, of, dict(known[row]) if known else NO_RARE, asked)[1].items():
                     for k in ks:
                         at.append(row), no.append(i + 1), kind.append(k), tokens.append([{"key": "w" + w, "most": lex.outdone(w)} for w in of.get(i, ())] if k == "misread" else None)
                 if asked:
-                    at.append(row), no.append(0), kind.append("asked"), tokens.append([{"key": k, "most": 0.0} for k in asked])
+                    at.append(row), no.append(0), kind.append("asked"), tokens.append([{"key": k, "most": float(decides)} for k, decides in asked.items()])
             rows = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("tab").take(rows), b.column("rec_id").take(rows), pa.array(no, pa.int64()), pa.array(kind, pa.string()), pa.array(tokens, pa.list_(pa.struct([("key", pa.string()), ("most", pa.float64())])))], names=["tab", "rec_id", "line_no", "kind", "tokens"])
 
     schema = "tab string, rec_id bigint, line_no bigint, kind string, tokens array<struct<key:string,most:double>>"
     cols = ["tab", "rec_id", "line_no", "kind"]
     first = cut(texts.mapInArrow(scan, schema), "scans-lines")
-    known = known_rare(first.filter("kind = 'asked'").select("tab", "rec_id", F.explode("tokens.key").alias("key")), rare)
+    known = known_rare(first.filter("kind = 'asked'").select("tab", "rec_id", F.explode("tokens").alias("t")).select("tab", "rec_id", "t.key", (F.col("t.most") > 0).alias("decides")), rare)
     again = cut(texts.join(known, ["tab", "rec_id"]).mapInArrow(scan, schema), "scans-lines-again")
     lines = first.filter("kind <> 'asked'").join(known.select("tab", "rec_id"), ["tab", "rec_id"], "left_anti").unionByName(again)
     seen = lines.filter("kind = 'misread'").select(*cols, F.explode("tokens").alias("t")).select(*cols, "t.key", "t.most").join(rare, "key", "left")
@@ -571,16 +604,17 @@ def repaired(ocr_results: DataFrame, text_cache: DataFrame) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for b in batches:
-            at, keys = [], []
+            at, keys, decides = [], [], []
             for row, t in enumerate(b.column("text").to_pylist()):
-                asked: set[str] = set()
+                asked: dict[str, bool] = {}
                 if is_scanned(t):
                     analyse(t, lex, asked=asked)
-                    asked.update("w" + x.lower() for x in set(TOKEN.findall(t)) if lex.meant(x) is not None)
+                    asked.update({"w" + x.lower(): True for x in set(TOKEN.findall(t)) if lex.meant(x) is not None})
                 at += [row] * len(asked)
                 keys += asked
+                decides += asked.values()
             rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("tab").take(rows), b.column("rec_id").take(rows), pa.array(keys, pa.string())], names=["tab", "rec_id", "key"])
+            yield pa.RecordBatch.from_arrays([b.column("tab").take(rows), b.column("rec_id").take(rows), pa.array(keys, pa.string()), pa.array(decides, pa.bool_())], names=["tab", "rec_id", "key", "decides"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
@@ -588,5 +622,5 @@ def repaired(ocr_results: DataFrame, text_cache: DataFrame) -> DataFrame:
             out = [repair(t, lex, dict(r) if r else NO_RARE) for t, r in zip(b.column("text").to_pylist(), b.column("rare").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("rec_id"), pa.array(out, pa.string())], names=["tab", "rec_id", "text"])
 
-    known = known_rare(texts.mapInArrow(ask, "tab string, rec_id bigint, key string"), rare)
+    known = known_rare(texts.mapInArrow(ask, "tab string, rec_id bigint, key string, decides boolean"), rare)
     return texts.join(known, ["tab", "rec_id"], "left").mapInArrow(scan, "tab string, rec_id bigint, text string")
